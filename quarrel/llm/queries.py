@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quarrel.llm import decontaminate
+from quarrel.llm import decontaminate, minhash, secrets
 
 QUERIES = {
+    "op3_secrets": secrets.op3_secrets,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_minhash": minhash.op8_minhash,
 }
 
 ORACLES = {
     "op7_decontaminate": decontaminate.ORACLE,
+    "op8_minhash": minhash.ORACLE,
 }
