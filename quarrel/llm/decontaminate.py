@@ -5,10 +5,10 @@ document all of its shingles must occur there, so a window is looked up by its *
 rarity in the whole corpus, a required overlap of all shingles leaves a prefix of one, the rarest. A window with a
 shingle that no document has is dropped at once. The prefix join fixes where the window would have to start
 (positional bound) and, with the document's length, where it would have to end (length bound); what is left is
-compared word by word over the item-sized window.
+compared shingle by shingle, as text, over the item-sized window.
 
-Two scans: the first finds every occurrence of a benchmark shingle (counts and positions in one go), the second
-counts words and verifies. Only benchmark-sized tables are broadcast, behind a count; beyond the bound they are shuffled.
+One scan of the texts finds every occurrence of a benchmark shingle, and so the counts, the positions and the words to
+verify with; no text is shuffled. Only benchmark-sized tables are broadcast, behind a count; beyond the bound they are shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrel.llm.common import BROADCAST_BYTES, join_small, read_table, stored
+from quarrel.llm.common import join_small, read_table, stored
 
 WINDOW = 10
 SHINGLE = 3
@@ -31,18 +31,18 @@ def item_words(text: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
 
 
-def _shingle_hashes(words: str, size: int) -> Column:
+def _shingles(words: str, size: int) -> Column:
     parts = ", ".join(f"get({words}, i + {k})" for k in range(size))
-    return F.expr(f"CASE WHEN size({words}) >= {size} THEN transform(sequence(0, size({words}) - {size}), i -> xxhash64({size}, {parts})) ELSE array() END")
+    return F.expr(f"CASE WHEN size({words}) >= {size} THEN transform(sequence(0, size({words}) - {size}), i -> concat_ws(' ', {parts})) ELSE array() END")
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str, window: int, shingle: int) -> DataFrame:
-    """(item, win, len, s, at, h): each distinct window of each item with its shingles (size s) and their offsets."""
+    """(item, len, s, gs, at, g): each distinct window of each item with its shingles ``gs`` of s words, one row for each of them."""
     w = items.select(F.col(item_col).alias("item"), item_words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     wins = w.select("item", F.explode(F.expr(f"transform(sequence(0, greatest(size(w) - {window}, 0)), i -> slice(w, i + 1, {window}))")).alias("win")).distinct()
     wins = wins.withColumn("len", F.size("win")).withColumn("s", F.least(F.col("len"), F.lit(shingle)))
-    sized = [wins.where(F.col("s") == n).select("item", "win", "len", "s", F.posexplode(_shingle_hashes("win", n)).alias("at", "h")) for n in range(1, shingle + 1)]
-    return reduce(DataFrame.unionAll, sized)
+    sized = [wins.where(F.col("s") == n).select("item", "len", "s", _shingles("win", n).alias("gs")) for n in range(1, shingle + 1)]
+    return reduce(DataFrame.unionAll, sized).select("item", "len", "s", "gs", F.posexplode("gs").alias("at", "g"))
 
 
 def find_windows(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", window=WINDOW, shingle=SHINGLE) -> DataFrame:
@@ -51,30 +51,39 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     Null text and text without words give ``n_words`` 0 and an empty ``found``; items without words are ignored; an empty
     item table finds nothing; rows that repeat give the same result each; null ids are kept; other columns are not read.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = stored(item_windows(items, item_col, item_text, window, shingle), "windows")
-    shape = table.agg(F.count("*").alias("n"), F.collect_set("s").alias("sizes"), F.sum(F.expr("aggregate(win, 0, (a, x) -> a + octet_length(x) + 16)")).alias("bytes")).first()
-    rows, row_bytes = shape["n"], 96 + (shape["bytes"] or 0) // max(1, shape["n"])
-    words = d.select("doc_id", item_words(F.col("text")).alias("w"))
-
-    vocabulary = table.select("h").distinct()
-    placed = [words.select("doc_id", F.posexplode(_shingle_hashes("w", n)).alias("pos", "h")) for n in sorted(shape["sizes"]) or [shingle]]
-    occurs = stored(join_small(reduce(DataFrame.unionAll, placed), vocabulary, "h", "inner", rows, 64), "occurs")
-
-    rarity = occurs.groupBy("h").agg(F.count("*").alias("n"))
-    windows = table.join(rarity, "h", "left").groupBy("item", "win", "len")
-    probes = windows.agg(F.min(F.struct("n", "h", "at")).alias("first"), F.count("n").alias("known"), F.count("*").alias("all")).where("known = all")
-    probes = stored(probes.select("item", F.array_join("win", " ").alias("words"), "len", "first.h", "first.at"), "probes")
+    shape = table.agg(F.count("*").alias("n"), F.collect_set("s").alias("sizes"), F.sum(F.expr("octet_length(array_join(gs, ' '))")).alias("bytes")).first()
+    rows, row_bytes = shape["n"], 128 + (shape["bytes"] or 0) // max(1, shape["n"])
+
+    # A row with g = '' stands for the document itself; t tells rows apart that share an id or have none.
+    own = F.xxhash64(F.col(text_col)).alias("t")
+    words = docs.select(F.col(id_col).alias("doc_id"), own, item_words(F.col(text_col)).alias("w"))
+    placed = []
+    for k, n in enumerate(sorted(shape["sizes"]) or [shingle]):
+        each = F.concat(F.array(F.lit("")), _shingles("w", n)) if k == 0 else F.concat(F.array(F.lit(None).cast("string")), _shingles("w", n))
+        placed.append(words.select("doc_id", "t", F.size("w").alias("n_words"), F.lit(n).alias("s"), F.posexplode(each).alias("pos", "g")))
+    vocabulary = table.select("g").distinct().unionAll(table.sparkSession.range(1).select(F.lit("").alias("g")))
+    occurs = stored(join_small(reduce(DataFrame.unionAll, placed), vocabulary, "g", "inner", rows, 128), "occurs")
+    there = occurs.where("g <> ''").withColumn("pos", F.col("pos") - 1)
+
+    rarity = there.groupBy("g").agg(F.count("*").alias("n"))
+    probes = table.join(rarity, "g", "left").groupBy("item", "len", "s", "gs")
+    probes = probes.agg(F.min(F.struct("n", "g", "at")).alias("first"), F.count("n").alias("known"), F.count("*").alias("all")).where("known = all")
+    probes = stored(probes.select("item", "len", "s", "gs", "first.g", "first.at"), "probes")
 
     start = F.col("pos") - F.col("at")
-    found = join_small(occurs, probes, "h", "inner", rows, row_bytes).where(start >= 0).select("doc_id", F.struct(start.alias("start"), "len", "item", "words").alias("c"))
-    found = stored(found.groupBy("doc_id").agg(F.collect_set("c").alias("found")), "found").withColumnRenamed("doc_id", "id_")
-    size = found.agg(F.count("*").alias("n"), F.sum(F.size("found")).alias("c")).first()
-    small = size["n"] * 32 + (size["c"] or 0) * row_bytes <= BROADCAST_BYTES
-    out = words.join(F.broadcast(found) if small else found, words.doc_id.eqNullSafe(found.id_), "left")
-    true = "filter(found, c -> c.start + c.len <= size(w) AND array_join(slice(w, c.start + 1, c.len), ' ') = c.words)"
-    kept = F.expr(f"CASE WHEN found IS NULL THEN array() ELSE transform({true}, c -> struct(c.start AS start, c.len AS len, c.item AS item)) END")
-    return out.select("doc_id", F.size("w").cast("long").alias("n_words"), kept.alias("found"))
+    fits = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
+    near = join_small(there.drop("s"), probes, "g", "inner", rows, row_bytes).where(fits)
+    near = stored(near.groupBy("doc_id", "t", "s").agg(F.collect_set(F.struct(start.alias("start"), "len", "item", "gs")).alias("near")), "near")
+    key = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & a.t.eqNullSafe(b.t)
+    held = there.join(near, key(there, near) & (there.s == near.s), "left_semi").groupBy("doc_id", "t", "s").agg(F.array_sort(F.collect_set(F.struct("pos", "g"))).alias("held"))
+    true = """filter(transform(near, c -> struct(c.start AS start, c.len AS len, c.item AS item, c.gs AS gs, array_position(held.pos, c.start) AS i)),
+              c -> c.i > 0 AND slice(held.g, cast(c.i AS int), size(c.gs)) = c.gs AND get(held.pos, cast(c.i AS int) + size(c.gs) - 2) = c.start + size(c.gs) - 1)"""
+    found = held.join(near, key(held, near) & (held.s == near.s)).select(held.doc_id, held.t, F.explode(F.expr(f"transform({true}, c -> struct(c.start AS start, c.len AS len, c.item AS item))")).alias("c"))
+    found = found.groupBy("doc_id", "t").agg(F.collect_set("c").alias("found"))
+    every = occurs.where("g = ''").select("doc_id", "t", F.col("n_words").cast("long").alias("n_words"))
+    nothing = F.expr("cast(array() as array<struct<start: int, len: int, item: " + table.schema["item"].dataType.simpleString() + ">>)")
+    return every.join(found, key(every, found), "left").select(every.doc_id, "n_words", F.coalesce("found", nothing).alias("found"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
