@@ -179,15 +179,12 @@ def trigram_query(pattern: str) -> Query:
     return _info(rp.parse(pattern, re.ASCII)).whole()
 
 
-_FOLD = {c: c + 32 for c in range(65, 91)}
-
-
 def _postings(trigrams: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, grams = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                folded = (text or "").translate(_FOLD) if text and not text.isascii() else (text or "").lower()
+                folded = (text or "").lower()  # ASCII letters fold as they should; what else folds to them only adds candidates
                 for g in trigrams:
                     if g in folded:
                         ids.append(doc_id)
@@ -225,7 +222,7 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return out.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
-def _scan(rules: tuple[Rule, ...], always: frozenset):
+def _scan(rules: tuple[Rule, ...], always: frozenset, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [(r, r.compiled()) for r in rules]
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -237,30 +234,31 @@ def _scan(rules: tuple[Rule, ...], always: frozenset):
                     if rule.kind in always or rule.kind in named:
                         spans += [(m.start(), k, m.end()) for m in pattern.finditer(text or "") if m.end(rule.group) - m.start(rule.group) >= rule.least]
                 out.append([{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(spans)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kinds), batch.column("text")], ["doc_id", "spans", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kinds), *(batch.column(c) for c in ("text", *carry))], ["doc_id", "spans", "text", *carry])
 
     return run
 
 
-def find_secrets(docs: DataFrame, id_col="doc_id", text_col="text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per input row ``doc_id, spans, text``: spans (kind, start, end) in code points, end exclusive, by start and then rule order.
+def find_secrets(docs: DataFrame, id_col="doc_id", text_col="text", rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per input row ``doc_id, spans, text`` and the columns ``carry``: spans (kind, start, end) in code points, end exclusive, by start and then rule order.
 
     Null text has no spans. Rows with a null id are searched with every rule, as the index can't name them; rows that share
     an id are candidates together and searched each. Empty tables give no rows; other columns are not read.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry)
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     always = frozenset(k for k, q in queries.items() if q is True)
     queries = {k: q for k, q in queries.items() if q is not True}
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind: string, start: bigint, end: bigint>>, text string"
+    schema += "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in carry)
     named = F.lit(None).cast("array<string>")
     if queries:
-        index = build_index(d, sorted({g for q in queries.values() for clause in q for g in clause}))
+        index = build_index(d.select("doc_id", "text"), sorted({g for q in queries.values() for clause in q for g in clause}))
         found = stored(candidates(index, queries).withColumnRenamed("doc_id", "id_"), "candidates")
         small = found.count() * (64 + 16 * len(queries)) <= BROADCAST_BYTES
         d = d.join(F.broadcast(found) if small else found, d.doc_id == found.id_, "left")
         named = F.when(F.col("doc_id").isNull(), F.array(*map(F.lit, queries))).otherwise(F.col("rules"))
-    return d.select("doc_id", "text", named.alias("rules")).mapInArrow(_scan(rules, always), schema)
+    return d.select("doc_id", "text", *carry, named.alias("rules")).mapInArrow(_scan(rules, always, carry), schema)
 
 
 def _digests(base: tuple[str, ...]):
@@ -293,3 +291,17 @@ def redacted(text: str | None, spans: list[dict]) -> str | None:
             out += [text[at : s["start"]], f"[{s['kind']}]"]
         shown = at = max(at, s["end"])
     return "".join([*out, text[at:]])
+
+
+def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [redacted(t, spans) for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        sizes = [len(t) if spans else n for t, spans, n in zip(texts, batch.column("spans").to_pylist(), batch.column("n_chars").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("lang"), batch.column("source"), pa.array(sizes, pa.int64())], ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Documents (doc_id, text, lang, source, n_chars), one row for each input row, with secrets cut out of their texts; see :func:`find_secrets`."""
+    d = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    kind = d.schema["doc_id"].dataType.simpleString()
+    return find_secrets(d, rules=rules, carry=("lang", "source", "n_chars")).mapInArrow(_redact, f"doc_id {kind}, text string, lang string, source string, n_chars long")
