@@ -24,18 +24,23 @@ from pyspark.sql import functions as F
 from quarrel.llm.common import _MULT, Powers, doc_batches, mix, read_table
 
 HEADS = ("quality", "toxic")
-#: Slots of the text view; a document's features are a set of slots, so 1 KB of bits at most for every 8192.
-SLOTS = 1 << 15
+#: Slots of the text view: many more than words that tell something, so that these meet few others.
+SLOTS = 1 << 19
 META_SLOTS = 1 << 10
 _SHAPES = 2048  # the first slots are for the shape of the text
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the training sample, in rows, and how many pool rows a view may label in one round."""
+    """Bounds of the training sample (rows, and characters of each), and of what a view may label in one round.
 
-    labelled: int = 6000
+    Slots in fewer than ``least`` training rows get no weight.
+    """
+
+    labelled: int = 8000
     pool: int = 3000
+    chars: int = 50_000
+    least: int = 5
     rounds: int = 3
     given: int = 300
     confident: float = 0.97
@@ -105,30 +110,62 @@ class Rows:
         return np.bincount(self.row, w[self.flat], len(self.sets))
 
 
-def fit(x: Rows, y: np.ndarray, weight: np.ndarray, steps: int = 120, decay: float = 2e-5) -> np.ndarray:
+def fit(x: Rows, y: np.ndarray, weight: np.ndarray, least: int = 1, strength: float = 20.0, steps: int = 150, decay: float = 2e-5) -> np.ndarray:
     """Logistic regression, by full-batch steps scaled by each slot's past gradients."""
-    w, past, total = np.zeros(x.slots), np.full(x.slots, 1e-10), weight.sum()
+    out, total = np.zeros(x.slots), weight.sum()
     if not total:
-        return w
+        return out
+    # Slots that go with the target by a chi-square test; among all words, chance alone gives the rest their weights.
+    n = np.bincount(x.flat, minlength=x.slots)
+    share = (y * weight).sum() / total
+    hits = np.bincount(x.flat, (y * weight)[x.row], x.slots)
+    seen = np.bincount(x.flat, weight[x.row], x.slots)
+    lift = (hits - seen * share) ** 2 / np.maximum(seen * share * (1 - share) * np.maximum(1 - seen / total, 1e-9), 1e-9)
+    known = np.flatnonzero((n >= least) & (lift >= strength))
+    known = np.union1d(known, [0])
+    place = np.full(x.slots, -1)
+    place[known] = np.arange(len(known))
+    used = place[x.flat] >= 0
+    flat, row = place[x.flat[used]], x.row[used]
+    w, past = np.zeros(len(known)), np.full(len(known), 1e-10)
     for _ in range(steps):
-        g = (1 / (1 + np.exp(-np.clip(x.scores(w), -30, 30))) - y) * weight / total
-        g = np.bincount(x.flat, g[x.row], x.slots) + decay * w
+        odds = np.bincount(row, w[flat], len(x.sets))
+        g = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y) * weight / total
+        g = np.bincount(flat, g[row], len(known)) + decay * w
         past += g * g
         w -= 0.4 * g / np.sqrt(past)
-    return w
+    out[known] = w
+    return out
 
 
 def _platt(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Calibrated log odds from columns of scores: (weights, bias) by Newton's method with a small ridge."""
-    x = np.column_stack([scores, np.ones(len(scores))])
-    w = np.zeros(x.shape[1])
+    """Calibrated log odds from columns of scores, as weights (not negative) and bias: Newton's method with step halving."""
+    scale = np.maximum(scores.std(axis=0), 1e-6)
+    x = np.column_stack([scores / scale, np.ones(len(scores))])
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))  # Platt's targets
-    for _ in range(30):
+    ridge = np.diag([1e-2] * scores.shape[1] + [1e-6])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - t * z).sum() + 0.5 * w @ ridge @ w)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - t) + 1e-3 * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w)), grad)
-        w -= np.clip(step, -2, 2)
-    return w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (p - t) + ridge @ w)
+        size, now = 1.0, loss(w)
+        while size > 1e-4:
+            new = w - size * step
+            if loss(new) < now:
+                break
+            size /= 2
+        else:
+            break
+        w = new
+    if scores.shape[1] > 1 and w[:-1].min() < 0:  # a view that would count against itself is left out
+        drop = int(w[:-1].argmin())
+        return np.insert(_platt(np.delete(scores, drop, axis=1), y), drop, 0.0)
+    return np.concatenate([np.maximum(w[:-1], 0) / scale, w[-1:]])
 
 
 @dataclass
@@ -166,7 +203,7 @@ def co_train(views: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray, pool: tu
             more = sorted(extra[v].items())
             rows = Rows(own + [pool[v].sets[k] for k, _ in more], views[v].slots)
             target = np.concatenate([y[~held], [t for _, t in more]])
-            fitted[v] = fit(rows, target, np.concatenate([np.ones(len(own)), np.full(len(more), 0.5)]))
+            fitted[v] = fit(rows, target, np.concatenate([np.ones(len(own)), np.full(len(more), 0.5)]), limits.least, 0.0 if v else 20.0)
             calibrated[v] = _platt(views[v].scores(fitted[v])[proof][:, None], y[proof])
         if turn == limits.rounds:
             break
@@ -182,18 +219,14 @@ def co_train(views: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray, pool: tu
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in doc_batches(batches):
-        bits = []
-        for text in batch.column("text").to_pylist():
-            own = np.zeros(SLOTS, np.uint8)
-            own[text_slots(text)] = 1
-            bits.append(np.packbits(own).tobytes())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang", "n_chars", *HEADS)), pa.array(bits, pa.binary())], ["doc_id", "source", "lang", "n_chars", *HEADS, "bits"])
+        slots = [text_slots(text).astype("<i4").tobytes() for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang", "n_chars", *HEADS)), pa.array(slots, pa.binary())], ["doc_id", "source", "lang", "n_chars", *HEADS, "slots"])
 
 
 def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> dict[str, Head]:  # noqa: B008
-    """The heads, from at most ``limits.labelled`` labelled rows and ``limits.pool`` others, each 4 KB on the driver.
+    """The heads, from at most ``limits.labelled`` labelled rows and ``limits.pool`` others, whose slots go to the driver.
 
-    Both are the first in the order of a hash of the id. Labels of one document are averaged; null labels don't count.
+    Both are the first in the order of a hash of the id; chosen texts of over ``limits.chars`` characters are left out. Labels of one document are averaged; null labels don't count.
     """
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.avg(h).alias(h) for h in HEADS))
     mark = F.xxhash64("doc_id")
@@ -202,14 +235,14 @@ def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> dict
     pool = ids.join(known, "doc_id", "left_anti").orderBy(mark, "doc_id").limit(limits.pool)
     chosen = few.unionByName(pool, allowMissingColumns=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, source string, lang string, n_chars long, {', '.join(f'{h} double' for h in HEADS)}, bits binary"
-    first = docs.select("doc_id", "source", "lang", F.col("n_chars").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "source", "lang", "n_chars", *HEADS, "text")
+    schema = f"doc_id {kind}, source string, lang string, n_chars long, {', '.join(f'{h} double' for h in HEADS)}, slots binary"
+    first = docs.select("doc_id", "source", "lang", F.col("n_chars").cast("long"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= limits.chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "source", "lang", "n_chars", *HEADS, "text")
     rows = first.mapInArrow(_packed, schema).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().to_pylist()
     labelled = [r for r in rows if r["quality"] is not None or r["toxic"] is not None]
     others = [r for r in rows if r["quality"] is None and r["toxic"] is None]
 
     def views(part: list[dict]) -> tuple[Rows, Rows]:
-        text = [np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))) for r in part]
+        text = [np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in part]
         return Rows(text, SLOTS), Rows([meta_slots(r["source"], r["lang"], r["n_chars"]) for r in part], META_SLOTS)
 
     pool_views, out = views(others), {}
