@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrel.llm.common import drop_stored, stored
+from quarrel.llm.common import stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,19 +20,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b): the smallest id reachable from it. Self loops and repeats don't matter; no edges give no rows."""
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
-        new = stored(_star(_star(now, True), False), "edges")
-        seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") / 2.0**20)).first()
-        drop_stored(now.sparkSession, now)
-        now = new
-        if seen == mark or not seen[0]:
+        now = stored(_star(_star(now, True), False).distinct(), "edges")
+        # Done when all are stars: no node is both the smaller end of an edge and the larger end of another.
+        if now.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
-        mark = seen
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets form one class with its smallest id as representative (an aggregate, so any number of
 copies is combined before the shuffle); only representatives enter the buckets. A bucket's members are paired with the
-bucket's smallest member, never with each other. Confirmed links may already connect a bucket; the pairs that could
-still join two components are the members outside the bucket's main component against the rest, and only those follow.
+bucket's smallest member, never with each other. Where the confirmed links leave a bucket in several components, members
+outside the main one are joined with the rest by a prefix filter, which is exact and finds what shares rare shingles.
 """
 
 from __future__ import annotations
@@ -102,22 +102,6 @@ def _linked(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: by set sizes, by signatures with a margin of six standard errors, then by full sets."""
-    p = percent / 100
-    least = int(len(_A) * p - 6 * (len(_A) * p * (1 - p)) ** 0.5)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sigs = reps.select("doc_id", "n", "sig")
-    near = pairs.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b")
-    near = near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
-    near = stored(near.mapInArrow(_alike(least), f"a {kind}, b {kind}"), "near")
-    ids = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id"))).distinct()
-    few = near.count() * 2 * 32 <= BROADCAST_BYTES
-    sets = stored(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_sets(size), f"id {kind}, words binary"), "sets")
-    full = near.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b").select("a", "b", "wa", "wb")
-    return stored(full.mapInArrow(_linked(percent), f"a {kind}, b {kind}"), "links")
-
-
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 3, percent: int = 85) -> DataFrame:
     """Per input row ``doc_id, n_shingles, component_id, kept``: the group's smallest id, and whether this row has it.
 
@@ -127,33 +111,121 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     sigs = stored(d.mapInArrow(_signatures(size), f"doc_id {kind}, n long, key binary, bands array<long>, sig binary"), "signatures")
-    classes = stored(sigs.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = stored(sigs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n", "bands", "sig"))).alias("r")
+    classes = stored(sigs.where("key IS NOT NULL").groupBy("key").agg(first).select("key", "r.*"), "classes")
+    reps = classes.where("doc_id IS NOT NULL")
 
     placed = reps.select("doc_id", F.posexplode("bands").alias("band", "h"))
     buckets = placed.groupBy("band", "h").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1")
     members = stored(placed.join(buckets, ["band", "h"]), "members")
-    links = _confirmed(members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), reps, d, size, percent)
-    groups = stored(components(links), "groups")
-
-    links = links.unionAll(_across(members, groups, reps, d, size, percent))
-    groups = stored(components(links), "groups").toDF("rep", "component")
-    rep_of = classes.join(groups, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    pairs = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = _alike_pairs(pairs, reps, percent)
+    ids = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id")))
+    groups = components(_confirmed(near, _sets_of(ids, d, size), percent)).toDF("rep", "component")
+
+    more = _across(members, groups, d, size, percent)
+    if more is not None:  # links between groups: their components are those of the whole
+        joined = components(more).toDF("component", "least")
+        groups = groups.join(joined, "component", "left").select("rep", F.coalesce("least", "component").alias("component")).unionAll(joined.join(groups, joined.component == groups.rep, "left_anti").select("component", "least"))
+        groups = stored(groups, "groups")
+    rep_of = classes.join(groups, classes.doc_id == groups.rep, "left").select("key", F.coalesce("component", "doc_id").alias("component"))
     out = sigs.select("doc_id", "n", "key").join(rep_of, "key", "left")
     found = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 
 
-def _across(members: DataFrame, groups: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between members of one bucket that the links to its smallest member have left in different components."""
-    at = members.join(groups.toDF("doc_id", "component"), "doc_id", "left").select("band", "h", "doc_id", F.coalesce("component", "doc_id").alias("component"), "centre")
-    split = at.groupBy("band", "h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "h")
-    at = stored(at.join(split, ["band", "h"]), "split")
-    main = at.where("doc_id = centre").select("band", "h", F.col("component").alias("main"))
-    out = at.join(main, ["band", "h"]).where("component <> main").select("band", "h", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    pairs = out.join(at.where("doc_id <> centre").select("band", "h", "doc_id", "component"), ["band", "h"]).where("cx <> component")
-    pairs = pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    return _confirmed(pairs, reps, docs, size, percent)
+def _alike_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that set sizes, and signatures with a margin of six standard errors, leave as possible links."""
+    p = percent / 100
+    least = int(len(_A) * p - 6 * (len(_A) * p * (1 - p)) ** 0.5)
+    kind = reps.schema["doc_id"].dataType.simpleString()
+    sigs = reps.select("doc_id", "n", "sig")
+    near = pairs.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b")
+    near = near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
+    return stored(near.mapInArrow(_alike(least), f"a {kind}, b {kind}"), "near")
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, words): the full shingle set of every document that ``ids`` (doc_id) names, one row each."""
+    ids = stored(ids.distinct(), "ids")
+    few = ids.count() * 32 <= BROADCAST_BYTES
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return stored(own.mapInArrow(_sets(size), f"id {kind}, words binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links by their full sets."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    full = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b").select("a", "b", "wa", "wb")
+    return stored(full.mapInArrow(_linked(percent), f"a {kind}, b {kind}"), "links")
+
+
+#: Lower ends of classes of set sizes, each about 4 % wide.
+_CLASSES = np.unique(np.ceil(1.04 ** np.arange(700)).clip(max=1e11).astype(np.int64))
+
+
+def _prefixes(percent: int):
+    """Entries (token, small, large, role, id, component, out) of the prefix filter, by class of the smaller and of the larger set.
+
+    Sets of sizes n and m with the Jaccard similarity p share at least p / (1 + p) * (n + m) tokens, so in any one order
+    of tokens the first n + 1 minus that many of the one have a token of those of the other. Rare tokens come first: what
+    a copy has changed itself stands before what the whole group shares, and a copy that has changed too much to be linked
+    to the group's centre has nothing but its own changes there.
+    """
+
+    def run(batches):
+        for batch in doc_batches(batches):
+            cols = [[] for _ in range(7)]
+            for doc, component, out, tokens in zip(*(batch.column(c).to_pylist() for c in ("id", "component", "out", "tokens")), strict=True):
+                n = len(tokens)
+                own = int(np.searchsorted(_CLASSES, n, "right")) - 1
+                lo = int(np.searchsorted(_CLASSES, -(-n * percent // 100), "right")) - 1
+                hi = int(np.searchsorted(_CLASSES, n * 100 // percent, "right")) - 1
+                for other in range(lo, hi + 1):
+                    shared = -(-percent * (n + int(_CLASSES[other])) // (100 + percent))
+                    prefix = tokens[: max(0, n - shared + 1)]
+                    for role in (0, 1) if other == own else (0,) if other > own else (1,):
+                        for c, v in zip(cols, (prefix, [min(own, other)] * len(prefix), [max(own, other)] * len(prefix), [role] * len(prefix), [doc] * len(prefix), [component] * len(prefix), [out] * len(prefix)), strict=True):
+                            c += v
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), batch.schema.field("id").type, batch.schema.field("component").type, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["token", "small", "large", "role", "id", "component", "out"])
+
+    return run
+
+
+def _tokens(batches):
+    for batch in doc_batches(batches):
+        sets = [np.frombuffer(w, np.int64) for w in batch.column("words").to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], ["id", "token"])
+
+
+def _across(members: DataFrame, groups: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between the components that the links to the buckets' smallest members have left in one bucket; None if there are no such buckets.
+
+    The exact way for what stars miss: a prefix-filtered join of the members outside their bucket's main component with
+    all members of such buckets.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    at = members.join(groups.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("band", "h", "doc_id", F.coalesce("component", "doc_id").alias("component"), "centre")
+    split = at.groupBy("band", "h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("doc_id") == F.col("centre"), F.col("component"))).alias("main")).where("lo <> hi")
+    at = at.join(split.select("band", "h", "main"), ["band", "h"]).groupBy(F.col("doc_id").alias("id")).agg(F.min("component").alias("component"), F.max(F.expr("component <> main")).alias("out"))
+    at = stored(at, "split")
+    if at.isEmpty():
+        return None
+    sets = _sets_of(at.select(F.col("id").alias("doc_id")), docs, size)
+    tokens = stored(sets.mapInArrow(_tokens, f"id {kind}, token long"), "tokens")
+    ordered = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("id").agg(F.expr("transform(array_sort(collect_list(struct(n, token))), x -> x.token)").alias("tokens"))
+    entries = stored(ordered.join(at, "id").mapInArrow(_prefixes(percent), f"token long, small int, large int, role int, id {kind}, component {kind}, out boolean"), "entries")
+    key = ["token", "small", "large"]
+    small, large = (entries.where(f"role = {r}").select(*key, F.col("id").alias(f"id{r}"), F.col("component").alias(f"c{r}"), F.col("out").alias(f"out{r}")) for r in (0, 1))
+    one = small.where("out0").join(large, key).where("c0 <> c1").select("id0", "id1")
+    two = large.where("out1").join(small.where("NOT out0"), key).where("c0 <> c1").select("id0", "id1")
+    pairs = one.unionAll(two).select(F.least("id0", "id1").alias("a"), F.greatest("id0", "id1").alias("b")).distinct()
+    links = _confirmed(pairs, sets, percent)
+    at = at.select("id", "component")
+    return links.join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
