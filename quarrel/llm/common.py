@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Broadcast sides must be at most this many bytes by a count taken at run time; above it the join is shuffled.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 48 << 20
+#: Rows in an Arrow batch between Spark and Python workers; whole texts are in them, so Spark's 10,000 would be much memory.
+ARROW_ROWS = 256
 
 _MASK = (1 << 64) - 1
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -26,24 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quarrel-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return spark
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
-    """Remove tables written by :func:`stored` that no later step reads."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for df in frames:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            if "/quarrel-" in folder:
-                path.getFileSystem(conf).delete(path, True)
-
-
 def join_small(left: DataFrame, right: DataFrame, on: str, how: str, rows: int, row_bytes: int) -> DataFrame:
     """Join on ``on``; ``right`` is broadcast only if ``rows * row_bytes``, counted by the caller, is within the bound."""
     small = rows * row_bytes <= BROADCAST_BYTES
@@ -51,7 +48,7 @@ def join_small(left: DataFrame, right: DataFrame, on: str, how: str, rows: int,
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
