@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "j1_inner_join"
+from quarrel.plans import collections, relational
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+FLAGSHIP = "j1_inner_join"
+QUERIES = relational.QUERIES | collections.QUERIES
+ORACLES = relational.ORACLES | collections.ORACLES
