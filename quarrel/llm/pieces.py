@@ -17,7 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from os.path import commonprefix
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from quarrel.llm.common import doc_batches, read_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose ids a worker keeps between batches; beyond it the table starts anew.
-KEPT_WORDS = 300_000
+#: Words whose ids a worker keeps between batches, and pairs of pieces; beyond it a table starts anew.
+KEPT_WORDS = 1_000_000
 KEPT_PAIRS = 1_000_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -86,8 +86,14 @@ class Pieces:
         back = {v: k for k, v in self.bytes.items()}
         self.raw = [bytes([back[i]]) if i in back else b"" if self.lib.is_control(i) else self.lib.id_to_piece(i).replace(MARK, " ").encode() if i != self.unknown else " ⁇ ".encode() for i in range(n)]
         self.dummy = self.lib.normalize("a").startswith(MARK) if hasattr(self.lib, "normalize") else True
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.nodes: dict[str, dict] = {"": {None: ""}}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.known = 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: always the best-scored adjacent pair, the leftmost of equals."""
@@ -113,40 +119,62 @@ class Pieces:
             offer(a, after[a])
         return [p for p in parts if p is not None]
 
-    def _fits(self, last: str, piece: str) -> bool:
-        got = self.pairs.get((last, piece))
-        if got is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            got = self.pairs[last, piece] = self.merged(last + piece) == ([last, piece] if last else [piece])
+    def _fits(self, last: str, piece: str, own: dict[str, bool]) -> bool:
+        self.known += 1
+        got = own[last] = self.merged(last + piece) == ([last, piece] if last else [piece])
+        return got
+
+    def _step(self, node: dict, ch: str) -> tuple[dict, tuple]:
+        """The node for the longest end of the text that begins a piece, and the pieces that end there, longest first, each with its length and its table of pairs.
+
+        A node is a dictionary from the next character to what this gives, and from None to its text.
+        """
+        self.known += 1
+        now = node[None] + ch
+        while now and now not in self.starts:
+            now = now[1:]
+        ends = [now[k:] for k in range(len(now)) if now[k:] in self.ids]
+        if not ends or len(ends[-1]) > 1:
+            ends.append(ch)
+        got = node[ch] = self.nodes.setdefault(now, {None: now}), tuple((e, len(e), self.pairs.setdefault(e, {})) for e in ends)
         return got
 
     def segmented(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, pieces) of sorted distinct words, in order; forward states of a shared prefix are computed once."""
-        known, longest, scores = self.ids, self.longest, self.scores
-        last, best, previous = [""], [0.0], ""
+        if self.known >= KEPT_PAIRS:
+            self._forget()
+        scores, unigram, step, fits = self.scores, self.unigram, self._step, self._fits
+        last, best, nodes, previous = [""], [0.0], [self.nodes[""]], ""
         for word in words:
-            keep = len(commonprefix((previous, word)))
-            del last[keep + 1 :], best[keep + 1 :]
-            for i in range(keep + 1, len(word) + 1):
-                top, pick = float("-inf"), word[i - 1]
-                for j in range(max(0, i - longest), i):
-                    piece = word[j:i]
-                    if piece not in known and j < i - 1:
-                        continue
-                    if not self.unigram:
-                        if j == i - 1 or self._fits(last[j], piece):
-                            pick = piece
+            keep = 0
+            for x, y in zip(previous, word):  # noqa: B905
+                if x != y:
+                    break
+                keep += 1
+            del last[keep + 1 :], nodes[keep + 1 :]
+            node, i = nodes[keep], keep
+            for ch in word[keep:] if keep else word:
+                i += 1
+                node, ends = node.get(ch) or step(node, ch)
+                if unigram:
+                    del best[i:]
+                    top, pick = max((best[i - size] + scores.get(piece, self.floor), piece) for piece, size, _ in ends)
+                    best.append(top)
+                else:
+                    for pick, size, own in ends:
+                        before = last[i - size]
+                        ok = own.get(before)
+                        if ok or size == 1 or ok is None and fits(before, pick, own):
                             break
-                    elif (s := best[j] + scores.get(piece, self.floor)) > top:
-                        top, pick = s, piece
                 last.append(pick)
-                best.append(top)
+                nodes.append(node)
             previous, out, i = word, [], len(word)
             while i:
-                out.append(last[i])
-                i -= len(last[i])
-            yield word, out[::-1]
+                pick = last[i]
+                out.append(pick)
+                i -= len(pick)
+            out.reverse()
+            yield word, out
 
     def _ids_of(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -162,20 +190,15 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         units = [_UNIT.findall(self.lib.normalize(t)) if t else [] for t in texts]
-        new = {u for own in units for u in own if u not in self.words}
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
-            new = {u for own in units for u in own}
         table = self.words
+        new = set(chain.from_iterable(units)).difference(table)
+        if len(table) + len(new) > KEPT_WORDS:
+            table.clear()
+            new = set(chain.from_iterable(units))
         for word, pieces in self.segmented(sorted(new)):
-            table[word] = self._ids_of(pieces)
-        out = []
-        for own in units:
-            ids: list[int] = []
-            for u in own:
-                ids += table[u]
-            out.append(ids)
-        return out
+            table[word] = tuple(self._ids_of(pieces))
+        look = table.__getitem__
+        return [list(chain.from_iterable(map(look, own))) for own in units]
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
