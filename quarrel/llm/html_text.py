@@ -6,17 +6,18 @@ punctuation); edge potentials tie a child to its parent, by the child's kind. Su
 and down from the root, which on a tree gives exact marginals; blocks whose marginal favours content are the text.
 
 The potentials are trained on labelled pages: a bounded sample of pages whose own markup names the article (and what in
-it isn't part of it), and a few pages labelled by hand for layouts that don't.
+it isn't part of it), and pages of known layouts, some labelled by hand, some generated, for pages that don't.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp, log, log1p
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -274,12 +275,63 @@ SEEDS = (
 )
 
 
-def train(pages: list[str], rounds: int = 60) -> Model:
-    """Piecewise: node weights by regularised logistic regression, edge tables as smoothed log ratios of joint to independent counts."""
+#: Names and texts that generated layouts are put together from.
+_CONTENT = ("div class=post-content", "div class='article-body'", "section class=entry-content", "div id=content", "div class=story", "main", "article", "td class=main", "div class=text", "div itemprop=articleBody", "div", "section id=main-content")
+_AROUND = (
+    ("nav", "<ul><li><a>Home</a><li><a>News</a><li><a>About us</a></ul>"), ("div class=menu", "<a>Start</a> <a>Archive</a> <a>Contact</a>"), ("header", "<h2>The Site</h2><p>All that matters, every day.</p>"), ("div id=header", "<h2>Our Paper</h2>"),
+    ("footer", "<p>&copy; 2021 The Site. All rights reserved.</p><p>Contact us. Terms. Privacy.</p>"), ("div id=footer", "Copyright 2020 by us. <a>Imprint</a>"), ("aside", "<h3>Popular</h3><ul><li><a>One story that people read</a><li><a>Another story</a></ul>"),
+    ("div class=sidebar", "<h4>About the author</h4><p>Writes here, and has done so for many years now.</p>"), ("div class='cookie-notice'", "<p>We use cookies to make your visit better.</p><button>Accept</button>"), ("div class=banner", "<p>Subscribe today, and save half the price. Offer ends soon.</p>"),
+    ("div class=ad", "<p>Buy this now, it is cheap and good. Order today.</p>"), ("div class=advertisement", "Sponsored: the best things to buy."), ("section id=comments", "<h3>3 comments</h3><div class=comment><p>I think this is great, thanks for writing it. It helped me a lot.</p></div><div class=comment><p>I don't agree, and here is why, at some length.</p></div>"),
+    ("ul class=comment-list", "<li><b>Ann</b> <p>Nice one. I will come back to read more of it, soon.</p><li><b>Bob</b> <p>So true, every word of it.</p>"), ("form", "<label>Your name</label><input><label>Your mail</label><input><button>Send</button>"), ("div class=newsletter", "<p>Get our newsletter, it is free.</p><form><input><button>Go</button></form>"),
+    ("div class=related", "<h4>Related</h4><ul><li><a>First thing to read</a><li><a>Second thing to read</a></ul>"), ("div class=share", "<a>Share</a> <a>Tweet</a> <a>Mail</a>"), ("div class=breadcrumb", "<a>Home</a> &gt; <a>News</a>"), ("div class=pagination", "<a>1</a> <a>2</a> <a>Next</a>"),
+)
+
+
+def layouts(n: int = 120, seed: int = 7) -> list[str]:
+    """Pages of many layouts with known blocks: those of the main text start with "Text"."""
+    r = random.Random(seed)
+    words = "the of a small house river had not been seen for many years when they came back in spring and asked about it".split()
+
+    def prose(low: int, high: int) -> str:
+        return "Text " + " ".join(r.choice(words) + r.choice(["", "", "", "", ",", "."]) for _ in range(r.randint(low, high))) + "."
+
+    out = []
+    for _ in range(n):
+        body = []
+        for _ in range(r.randint(1, 7)):
+            kind = r.random()
+            if kind < 0.7:
+                body.append(f"<p>{prose(5, 90)}</p>")
+            elif kind < 0.8:
+                body.append(f"<h2>{prose(1, 5)[:-1]}</h2>")
+            elif kind < 0.9:
+                body.append("<ul>" + "".join(f"<li>{prose(2, 14)}" for _ in range(3)) + "</ul>")
+            else:
+                body.append(r.choice([f"<blockquote>{prose(6, 40)}</blockquote>", f"<table><tr><td>{prose(1, 3)}</td><td>{prose(1, 3)}</td></tr></table>", f"<pre>{prose(3, 9)}</pre>"]))
+        around = [f"<{tag}>{inner}</{tag.split()[0]}>" for tag, inner in r.sample(_AROUND, r.randint(3, 8))]
+        if r.random() < 0.4:
+            body.insert(r.randint(0, len(body)), around.pop())
+        if r.random() < 0.8:
+            body.insert(0, f"<h1>{prose(2, 8)[:-1]}</h1>")
+        tag = r.choice(_CONTENT)
+        cut = r.randint(1, len(around))
+        whole = "".join([*around[:cut], f"<{tag}>", *body, f"</{tag.split()[0]}>", *around[cut:]])
+        out.append(f"<body>{'<div class=wrapper>' if r.random() < 0.5 else ''}{whole}</body>")
+    return out
+
+
+def by_hand(page: str) -> tuple[Tree, list[bool]]:
+    tree = parse(page)
+    return tree, _spread(tree, [bool(x) and x.startswith("Text") for x in tree.text])
+
+
+def train(pages: list[str], known: tuple[str, ...] = (), rounds: int = 60) -> Model:
+    """The model of pages that label themselves and of ``known`` ones (the hand-labelled and generated layouts if there are none).
+
+    Piecewise: node weights by regularised logistic regression, edge tables as smoothed log ratios of joint to independent counts.
+    """
     found = [(t, y) for t in map(parse, pages) if (y := labels(t)) is not None]
-    for page in SEEDS:
-        t = parse(page)
-        found += [(t, _spread(t, [bool(x) and x.startswith("Text") for x in t.text]))] * max(1, len(found) // 20)
+    found += [by_hand(page) for page in known or (*SEEDS, *layouts())]
     joint = np.ones((len(_KINDS), 2, 2))
     rows, cols, ys = [], [], []
     n = 0
@@ -321,9 +373,15 @@ def _extract(model: Model, kind: pa.DataType):
 
 
 def labelled_sample(pages: DataFrame, limit: int = TRAIN_PAGES, chars: int = TRAIN_CHARS) -> list[str]:
-    """At most ``limit`` pages of at most ``chars`` characters, by the order of a hash of their id: the training pages, and no others, are sampled."""
-    few = pages.where(F.length("html") <= chars).orderBy(F.xxhash64("page_id", "url"), "page_id").limit(limit)
-    return [r["html"] for r in few.select("html").collect()]
+    """At most ``limit`` pages of at most ``chars`` characters, by the order of a hash of their id and url: the training pages, and no others, are sampled.
+
+    The choice is made on ids alone, so no more html than that reaches the driver.
+    """
+    mark = F.xxhash64("page_id", "url")
+    fits = pages.where(F.length("html") <= chars)
+    few = fits.select("page_id", mark.alias("mark")).distinct().orderBy("mark", "page_id").limit(limit)
+    chosen = fits.withColumn("mark", mark).join(F.broadcast(few), ["page_id", "mark"], "left_semi").dropDuplicates(["page_id", "mark"])
+    return [r["html"] for r in chosen.orderBy("mark", "page_id").select("html").collect()]
 
 
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", model: Model | None = None) -> DataFrame:
