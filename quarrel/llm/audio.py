@@ -24,7 +24,7 @@ OUT_RATE = RATE * UP // DOWN
 TAPS = 16  # per phase and side
 WINDOW, HOP, FFT, MELS = 200, 80, 256, 40  # 25 ms and 10 ms at 8 kHz
 FRAMES = 100
-ON_DB, OFF_DB, LEAST_FRAMES = 3.0, -3.0, 5
+FLOOR, ON_DB, OFF_DB, LEAST_FRAMES = 20, 6.0, 3.0, 5
 #: Samples handled at a time; bounds memory whatever the length.
 CHUNK = 1 << 20
 
@@ -100,9 +100,9 @@ def log_mel(x: np.ndarray) -> np.ndarray:
 
 
 def segments(mel: np.ndarray) -> list[tuple[int, int]]:
-    """Frame spans of activity: on above the median energy by ON_DB, off below it by OFF_DB; short ones are dropped."""
+    """Frame spans of activity: on where the energy is ON_DB above the floor (a percentile of it), off where it is less than OFF_DB above; short ones are dropped."""
     energy = mel.mean(axis=1) * np.float32(10 / np.log(10))
-    level = np.median(energy)
+    level = np.percentile(energy, FLOOR)
     state = np.where(energy > level + ON_DB, 1, np.where(energy < level + OFF_DB, -1, 0)).astype(np.int8)
     known = np.where(state != 0, np.arange(len(state)), -1)
     last = np.maximum.accumulate(known)
