@@ -29,6 +29,8 @@ from quarrel.llm.common import doc_batches, read_table
 #: At most this many pages, of at most this many characters each, are used as labelled pages.
 TRAIN_PAGES, TRAIN_CHARS = 300, 60_000
 DIM = 1 << 13
+#: Weight of a text block's own features against those of elements.
+LEAF = 0.4
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -192,7 +194,14 @@ def features(tree: Tree) -> list[list[int]]:
         size = min(12, n.bit_length())
         dots = min(4, len(_PUNCT.findall(text[:2000])) * 40 // max(20, min(n, 2000)))
         link = int(tree.links[k] * 4 + 0.5)
-        out.append([_slot("l:" + tag), _slot(f"s:{size}"), _slot(f"k:{link}"), _slot(f"d:{dots}:{size > 6}"), _slot(f"c:{any(x in text for x in '©|»')}")])
+        own = [_slot("l:" + tag), _slot(f"s:{size}"), _slot(f"k:{link}"), _slot(f"d:{dots}:{size > 6}"), _slot(f"c:{any(x in text for x in '©|»')}")]
+        up = tree.parent[k]
+        for _ in range(4):  # the names of the elements around it
+            if up <= 0:
+                break
+            own += [_slot("u:" + w) for w in tree.names[up][:4]]
+            up = tree.parent[up]
+        out.append(own)
     return out
 
 
@@ -206,7 +215,8 @@ class Model:
     def marginals(self, tree: Tree) -> list[float]:
         """Log odds that each node is content: one pass of messages up, one down."""
         n, parent, w = len(tree.parent), tree.parent, self.weights
-        own = [w[0] + sum(w[s] for s in slots) for slots in features(tree)]
+        # Blocks of one part look alike: each counts for less than an observation of its own.
+        own = [(w[0] + sum(w[s] for s in slots)) * (1.0 if t is None else LEAF) for slots, t in zip(features(tree), tree.text, strict=True)]
         edges = [self.edges[kind_of(t)] for t in tree.tag]
         up0, up1 = [0.0] * n, [0.0] * n  # what the children say of each state
         for k in range(n - 1, 0, -1):

@@ -176,7 +176,7 @@ def test_marginals_equal_enumeration():
         small = html_text.Tree(tree.parent[:cut], tree.tag[:cut], tree.names[:cut], tree.text[:cut], tree.links[:cut])
         model.edges = [[[r.uniform(-1, 1) for _ in range(2)] for _ in range(2)] for _ in model.edges]
         got = model.marginals(small)
-        own = [model.weights[0] + sum(model.weights[s] for s in f) for f in html_text.features(small)]
+        own = [(model.weights[0] + sum(model.weights[s] for s in f)) * (1 if t is None else html_text.LEAF) for f, t in zip(html_text.features(small), small.text, strict=True)]
         mass = np.zeros((cut, 2))
         for code in range(1 << cut):
             y = [code >> k & 1 for k in range(cut)]
