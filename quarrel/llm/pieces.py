@@ -29,7 +29,7 @@ from quarrel.llm.common import doc_batches, read_table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose ids a worker keeps between batches, and pairs of pieces; beyond it a table starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 1_600_000
 KEPT_PAIRS = 1_000_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
