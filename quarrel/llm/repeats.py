@@ -129,19 +129,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id_, cut): per document of ``docs`` (doc_id, text) with repeated windows, the spans of words these cover."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     suffixes = stored(docs.mapInArrow(_suffixes, f"prefix long, path long, doc_id {kind}, span long"), "suffixes")
-    shared = suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
+    # Aggregates are stored before they are joined: a join between two plain exchanges is one that can be split where it is skewed.
+    shared = stored(suffixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "shared")
     groups = stored(suffixes.join(shared, "prefix"), "groups")
 
     firsts = stored(groups.groupBy("prefix", "path").agg(F.min(F.struct("doc_id", "span")).alias("first")), "firsts")
     later = groups.join(firsts, ["prefix", "path"]).where("struct(doc_id, span) > first")
     covered = later.select("doc_id", F.expr(f"cast(span div {_HI} - span % {_HI} div {_LO} as int) AS a"), F.expr(f"cast(span div {_HI} - span % {_LO} + {DEPTH} as int) AS b"))
 
-    branching = firsts.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
+    branching = stored(firsts.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "branching")
     ask = firsts.join(branching, "prefix").select(F.col("first.doc_id").alias("id_"), F.col("first.span").alias("span"))
     ask = stored(ask.groupBy("id_").agg(F.collect_list("span").alias("spans")), "ask")
     windows = _by_document(docs, ask, "spans", 8, "inner").mapInArrow(_opened, f"prefix long, path long, doc_id {kind}, start long")
     windows = stored(windows, "windows")
-    first = windows.groupBy("prefix", "path").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stored(windows.groupBy("prefix", "path").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
     more = windows.join(first, ["prefix", "path"]).where("struct(doc_id, start) > first").select("doc_id", F.expr("cast(start as int) AS a"), F.expr(f"cast(start as int) + {DEPTH} AS b"))
 
     spans = covered.unionAll(more).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
