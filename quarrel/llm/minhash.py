@@ -116,7 +116,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int
     reps = classes.where("doc_id IS NOT NULL")
 
     placed = reps.select("doc_id", F.posexplode("bands").alias("band", "h"))
-    buckets = placed.groupBy("band", "h").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    # Stored before it is joined, so that adaptive execution can split a bucket that a large part of all rows is in.
+    buckets = stored(placed.groupBy("band", "h").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1"), "buckets")
     members = stored(placed.join(buckets, ["band", "h"]), "members")
     pairs = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     near = _alike_pairs(pairs, reps, percent)
@@ -175,27 +176,27 @@ def _prefixes(percent: int):
     """
 
     def run(batches):
-        for batch in doc_batches(batches):
-            cols = [[] for _ in range(7)]
-            for doc, component, out, tokens in zip(*(batch.column(c).to_pylist() for c in ("id", "component", "out", "tokens")), strict=True):
+        for batch in doc_batches(batches, 400_000):
+            parts, owners = [], []
+            for row, tokens in enumerate(batch.column("tokens")):
+                tokens = np.asarray(tokens.values, np.int64)
                 n = len(tokens)
-                own = int(np.searchsorted(_CLASSES, n, "right")) - 1
-                lo = int(np.searchsorted(_CLASSES, -(-n * percent // 100), "right")) - 1
-                hi = int(np.searchsorted(_CLASSES, n * 100 // percent, "right")) - 1
+                own, lo, hi = (int(np.searchsorted(_CLASSES, x, "right")) - 1 for x in (n, -(-n * percent // 100), n * 100 // percent))
                 for other in range(lo, hi + 1):
                     shared = -(-percent * (n + int(_CLASSES[other])) // (100 + percent))
                     prefix = tokens[: max(0, n - shared + 1)]
                     for role in (0, 1) if other == own else (0,) if other > own else (1,):
-                        for c, v in zip(cols, (prefix, [min(own, other)] * len(prefix), [max(own, other)] * len(prefix), [role] * len(prefix), [doc] * len(prefix), [component] * len(prefix), [out] * len(prefix)), strict=True):
-                            c += v
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), batch.schema.field("id").type, batch.schema.field("component").type, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["token", "small", "large", "role", "id", "component", "out"])
+                        parts.append((prefix, *(np.full(len(prefix), x, np.int32) for x in (min(own, other), max(own, other), role))))
+                        owners.append(np.full(len(prefix), row))
+            flat = [np.concatenate([np.empty(0, t), *x]) for t, x in zip((np.int64, np.int32, np.int32, np.int32), zip(*parts, strict=True), strict=True)] if parts else [np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int32)]
+            at = pa.array(np.concatenate([np.empty(0, np.int64), *owners]))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, flat), *(batch.column(c).take(at) for c in ("id", "component", "out"))], ["token", "small", "large", "role", "id", "component", "out"])
 
     return run
 
 
 def _tokens(batches):
-    for batch in doc_batches(batches):
+    for batch in doc_batches(batches, 1_000_000):
         sets = [np.frombuffer(w, np.int64) for w in batch.column("words").to_pylist()]
         at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
         yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], ["id", "token"])
