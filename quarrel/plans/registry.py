@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarrel.plans import collections, relational
+from quarrel.plans import collections, relational, rules
 
 FLAGSHIP = "j1_inner_join"
-QUERIES = relational.QUERIES | collections.QUERIES
-ORACLES = relational.ORACLES | collections.ORACLES
+QUERIES = relational.QUERIES | collections.QUERIES | rules.QUERIES
+ORACLES = relational.ORACLES | collections.ORACLES | rules.ORACLES

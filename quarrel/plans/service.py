@@ -48,6 +48,18 @@ def sqlstate(error: BaseException) -> str:
     return "58000"
 
 
+def named_columns(toks: list[sqltext.Token]) -> set[str] | None:
+    """Every name a statement mentions, so that no other column need be decoded; None if it may mean all columns."""
+    seen = [t for t in toks if t[0] != "space"]
+    for k, t in enumerate(seen):
+        if t == ("mark", "*") and (seen[k - 1][1].upper() in ("SELECT", "DISTINCT", "ALL", ",", ".") or seen[k - 1] == ("mark", "(") and seen[k - 2][1].upper() != "COUNT"):
+            return None
+        if t[0] == "word" and t[1].upper() in ("NATURAL", "DESCRIBE", "DESC", "TABLE"):
+            if t[1].upper() != "DESC" or k == 0:
+                return None
+    return {text.strip('"`') for kind, text in seen if kind in ("word", "quoted")}
+
+
 class Engine:
     """SQL over the collections of a registry."""
 
@@ -62,6 +74,7 @@ class Engine:
         toks = sqltext.tokens(sql)
         plain = lambda t: t[1].strip('"`')
         known = {d: set(self.registry.collections.get(d, {})) | set(self.registry.tables.get(d, {})) for d in {*self.registry.collections, *self.registry.tables}}
+        wanted = named_columns(toks)
         out, k = [], 0
         while k < len(toks):
             pair = toks[k : k + 3]
@@ -69,20 +82,20 @@ class Engine:
                 database, name = plain(pair[0]), plain(pair[2])
                 if name in known.get(database, ()):
                     view = f"{database}__{name}"
-                    self._view(database, name, view)
+                    self._view(database, name, view, wanted)
                     out.append(f"`{view}`")
                     k += 3
                     continue
             if pair[0][0] == "word" and pair[0][1] in known.get(compat.DEFAULT_SCHEMA, ()) and not (k and toks[k - 1] == ("mark", ".")):
-                self._view(compat.DEFAULT_SCHEMA, pair[0][1], pair[0][1])
+                self._view(compat.DEFAULT_SCHEMA, pair[0][1], pair[0][1], wanted)
             out.append(pair[0][1])
             k += 1
         sql = "".join(out)
         compat.register_views(self.spark, self.registry, sql)
         return sql
 
-    def _view(self, database: str, name: str, view: str) -> None:
-        df = self.registry.resolve(database, name)
+    def _view(self, database: str, name: str, view: str, wanted: set[str] | None) -> None:
+        df = self.registry.resolve(database, name, wanted)
         if df is not None:
             df.createOrReplaceTempView(view)
 

@@ -94,13 +94,18 @@ class Registry:
         row = self.docs(database, collection).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("doc")), F.lit(0)).alias("size")).first()
         return Stats(row["n"], row["size"] // row["n"] if row["n"] else 0, row["size"], ["_id"])
 
-    def resolve(self, database: str, name: str) -> DataFrame | None:
-        """The table of that name, or None; collections added since the last look are found."""
+    def resolve(self, database: str, name: str, wanted: set[str] | None = None) -> DataFrame | None:
+        """The table of that name, or None; collections added since the last look are found.
+
+        ``wanted`` limits the columns that are decoded to those of these names (one at least, so that rows can be counted).
+        """
         if database in self.tables:
             return self.tables[database].get(name)
         if name not in self.collections.get(database, {}):
             return None
-        return decode(self.docs(database, name), self.record(database, name).schema)
+        schema = self.record(database, name).schema
+        columns = None if wanted is None else [c for c in schema.names if c in wanted] or schema.names[:1]
+        return decode(self.docs(database, name), schema, columns=columns)
 
     def describe(self, refresh: bool = True) -> DataFrame:
         """One row per column of every collection."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrel.functions import aliases
 from quarrel.plans import compat, render, sqltext
-from quarrel.plans.service import Engine, QueryError, QueryTimeout, sqlstate
+from quarrel.plans.service import Engine, QueryError, QueryTimeout, named_columns, sqlstate
 from quarrel.sources.registry import Registry
 
 
@@ -70,6 +70,15 @@ def test_queries_over_collections(engine):
     assert [isinstance(x, compat.Tag) for x in engine.run("BEGIN; SELECT 1; COMMIT")] == [True, False, True]
 
 
+def test_only_named_columns_are_decoded(engine):
+    names = lambda sql: named_columns(sqltext.tokens(sql))
+    assert names("SELECT * FROM t") is None and names("SELECT t.* FROM t") is None and names("SELECT a, * FROM t") is None and names("SELECT 1 FROM a NATURAL JOIN b") is None
+    assert {"a", "b c"} <= names('SELECT count(*), a * 2 FROM t WHERE "b c" > 1 ORDER BY a DESC')
+    assert "type" not in engine.sql("SELECT _id FROM mailbox.profile")._jdf.queryExecution().analyzed().toString()
+    assert engine.sql("SELECT count(*) AS n FROM mailbox.profile").first()["n"] == 2
+    assert engine.sql("SELECT * FROM mailbox.profile").columns == ["_id", "name", "type"]
+
+
 def test_query_api(engine):
     got = engine.query("SELECT id, id * 0.5D AS h, CAST(NULL AS STRING) AS n FROM range(20) ORDER BY id;", limit=3)
     assert got["columns"] == ["id", "h", "n"] and got["rows"] == [["0", "0", ""], ["1", "0.5", ""], ["2", "1", ""]] and got["truncated"] and got["row_count"] == 3
