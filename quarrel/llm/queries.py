@@ -29,6 +29,7 @@ QUERIES = {
 #: The other queries can't be put in SQL; the tests hold them against brute force, round trips and held-out accuracy.
 ORACLES = {
     "op2_repeats": repeats.ORACLE,
+    "op3_secrets": secrets.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_minhash": minhash.ORACLE,
 }

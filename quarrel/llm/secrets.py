@@ -281,6 +281,34 @@ def op3_secrets(spark, sf_dir: str) -> DataFrame:
     return found.mapInArrow(_digests(tuple(r.kind for r in BASE)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
+def _oracle(rules: tuple[Rule, ...]) -> str:
+    """The query in SQL: matches and what stands between them, added up to places in the text."""
+
+    def either_case(m: re.Match) -> str:
+        return "(" + re.sub("[a-z]", lambda c: f"[{c.group()}{c.group().upper()}]", m.group(1)) + ")"
+
+    parts = []
+    for k, r in enumerate(rules):
+        pattern = re.sub(r"\(\(\?i:(.*?)\)\)", either_case, r.pattern).replace(r"\s", r"\t\n\v\f\r ").replace("'", "''")
+        parts.append(f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {r.group}) AS gs, string_split_regex(t, '{pattern}') AS ps, {r.least} AS least FROM d")
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (SELECT doc_id, k, kind, coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a, length(ms[i]) AS n
+      FROM i WHERE length(gs[i]) >= least),
+g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, k) FILTER (WHERE kind IN ({base})) AS base,
+      string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLE = _oracle(RULES)
+
+
 def redacted(text: str | None, spans: list[dict]) -> str | None:
     """``text`` with every span replaced by ``[kind]``; overlapping spans become one, named after the first."""
     if not spans:
