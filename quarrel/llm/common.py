@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Broadcast sides must be at most this many bytes by a count taken at run time; above it the join is shuffled.
 BROADCAST_BYTES = 48 << 20
-#: Rows in an Arrow batch between Spark and Python workers; whole texts are in them, so Spark's 10,000 would be much memory.
-ARROW_ROWS = 256
+#: Rows and bytes of an Arrow batch between Spark and Python workers: rows hold whole texts or sets, so Spark's 10,000 rows and 64 MB are much memory.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 _MASK = (1 << 64) - 1
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -30,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 

@@ -11,14 +11,16 @@ from quarrel.llm.common import stored
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """``edges`` (u > v). Large star: every node hands its larger neighbours its smallest one; small star: its smaller neighbours.
 
-    The smallest neighbour is a plain aggregate, so a node with any number of neighbours is combined before the shuffle.
+    The smallest neighbour is a plain aggregate, so a node with any number of neighbours is combined before the shuffle. It
+    is stored before it is joined, so that adaptive execution can split the neighbours of such a node.
     """
     if large:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        edges = stored(edges, "edges")
+        least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v")
 
