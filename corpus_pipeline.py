@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quarrel.llm import decontaminate, minhash, pieces, quality, secrets
 from quarrel.llm.common import read_table, stored
 
+#: Words that a worker of the last stage keeps between batches.
+WORDS = 100_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -44,8 +46,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text and whether they decode to it."""
-    return pieces.encode_documents(docs)
+    """Piece ids of each text and whether they decode to it. Workers that serve all stages keep few words."""
+    return pieces.encode_documents(docs, kept_words=WORDS)
 
 
 STAGES = [

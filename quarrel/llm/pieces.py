@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from quarrel.llm.common import doc_batches, read_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose ids a worker keeps between batches, and pairs of pieces; beyond it a table starts anew.
-KEPT_WORDS = 1_600_000
-KEPT_PAIRS = 1_000_000
+#: Words whose ids a worker keeps between batches, and pairs of pieces; beyond it a table starts anew. More words are less work and more memory (about 230 bytes each).
+KEPT_WORDS = 700_000
+KEPT_PAIRS = 600_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -87,7 +88,7 @@ class Pieces:
         self.raw = [bytes([back[i]]) if i in back else b"" if self.lib.is_control(i) else self.lib.id_to_piece(i).replace(MARK, " ").encode() if i != self.unknown else " ⁇ ".encode() for i in range(n)]
         self.dummy = self.lib.normalize("a").startswith(MARK) if hasattr(self.lib, "normalize") else True
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         self._forget()
 
     def _forget(self) -> None:
@@ -188,48 +189,48 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None], kept: int = KEPT_WORDS) -> list[np.ndarray]:
+        """The ids of each text as ``<u4``."""
         units = [_UNIT.findall(self.lib.normalize(t)) if t else [] for t in texts]
         table = self.words
         new = set(chain.from_iterable(units)).difference(table)
-        if len(table) + len(new) > KEPT_WORDS:
+        if len(table) + len(new) > kept:
             table.clear()
             new = set(chain.from_iterable(units))
         for word, pieces in self.segmented(sorted(new)):
-            table[word] = tuple(self._ids_of(pieces))
+            ids = self._ids_of(pieces)
+            table[word] = pack(f"<{len(ids)}I", *ids)
         look = table.__getitem__
-        return [list(chain.from_iterable(map(look, own))) for own in units]
+        return [np.frombuffer(b"".join(map(look, own)), "<u4") for own in units]
 
-    def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
-def _coded(path: str, keep_ids: bool, kind: pa.DataType):
+def _coded(path: str, keep_ids: bool, kept_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.load(path)
-        for batch in doc_batches(batches, 3_000_000):
+        for batch in doc_batches(batches, 2_000_000):
             texts = batch.column(1).to_pylist()
-            coded = model.encode(texts)
-            arrays = [np.asarray(ids, np.uint32) for ids in coded]
+            coded = model.encode(texts, kept_words)
             back = [model.decode(ids) for ids in coded]
             cols = {
                 "doc_id": batch.column(0),
                 "n_tokens": pa.array(map(len, coded), pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(a.astype("<u4").tobytes()) for a in arrays], pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(a) for a in coded], pa.int64()),
                 "decoded_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]),
                 "round_trip": pa.array([t == (x or "") for t, x in zip(back, texts, strict=True)]),
             }
             if keep_ids:
                 ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
-                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint32), *arrays]).astype(np.int32)))
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "<u4"), *coded]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return run
 
 
-def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", path: str = MODEL, keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", path: str = MODEL, keep_ids: bool = True, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Per input row ``doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip`` and, if kept, ``ids``.
 
     ``ids_crc32`` is over the ids as little-endian unsigned 32-bit integers; ``round_trip`` tells whether decoding gives
@@ -237,7 +238,7 @@ def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", path: st
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_coded(path, keep_ids, None), schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_coded(path, keep_ids, kept_words), schema)
 
 
 def op9_pieces(spark, sf_dir: str) -> DataFrame:
