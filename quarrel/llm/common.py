@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ BROADCAST_BYTES = 48 << 20
 #: Rows and bytes of an Arrow batch between Spark and Python workers: rows hold whole texts or sets, so Spark's 10,000 rows and 64 MB are much memory.
 ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
+_LIBC = ctypes.CDLL(None)
 _MASK = (1 << 64) - 1
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
@@ -135,10 +138,18 @@ def grams(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: workers are kept between stages, and what one stage needed another can't use."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def doc_batches(batches: Iterator, chars: int = 4_000_000) -> Iterator:
-    """Arrow record batches cut so that each holds at most about ``chars`` bytes of data (one row at least)."""
+    """Arrow record batches cut so that each holds at most about ``chars`` bytes of data (one row at least); frees memory at the end."""
     for batch in batches:
         parts = min(batch.num_rows, max(1, batch.nbytes // chars))
         step = -(-batch.num_rows // parts) if parts else 1
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    trim()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrel.llm.common import doc_batches, read_table
+from quarrel.llm.common import doc_batches, read_table, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -226,6 +226,10 @@ def _coded(path: str, keep_ids: bool, kept_words: int):
                 ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
                 cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "<u4"), *coded]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+        if kept_words < KEPT_WORDS:  # the worker has other stages to serve
+            model.words.clear()
+            model._forget()
+            trim()
 
     return run
 
