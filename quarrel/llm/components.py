@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
         now = stored(_star(_star(now, True), False).distinct(), "edges")
-        # Done when all are stars: no node is both the smaller end of an edge and the larger end of another.
-        if now.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
-            break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        # Done when all are stars: each id has one row. A larger end may still have two smaller ones when none of them is a larger end.
+        if out.groupBy("id").count().where("count > 1").isEmpty():
+            return out
