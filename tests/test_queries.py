@@ -35,3 +35,9 @@ def test_query(spark, oracle, name):
     order = sorted(range(len(rel.columns)), key=lambda k: rel.columns[k])
     assert sorted(df.columns) == sorted(rel.columns)
     assert got == sorted((tuple(plain(r[k]) for k in order) for r in rel.fetchall()), key=str)
+
+
+@pytest.mark.parametrize(("name", "table"), [("o1_sort_all", "events")])
+def test_whole_tables(spark, oracle, name, table):
+    n = oracle.sql(f"SELECT COUNT(*) FROM {table}").fetchall()[0][0]
+    assert registry.QUERIES[name](spark, SF).count() == n == oracle.sql(f"SELECT COUNT(*) FROM ({registry.ORACLES[name]})").fetchall()[0][0]
