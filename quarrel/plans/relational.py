@@ -151,6 +151,7 @@ SQL: dict[str, str | tuple[str, str]] = {
 
 # The statements above stay as they are; these are the same over every row of their tables, on both sides.
 SQL["o1_sort_all"] = SQL["o1_sort"].replace(" WHERE rn <= 1000", "")
+SQL["f2_math_all"] = tuple(x.replace(" WHERE l_orderkey <= 1000", "") for x in SQL["f2_math"])
 
 
 def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
