@@ -75,7 +75,6 @@ def parse(page: str | None) -> Tree:
     stack: list[tuple[str, int]] = [("root", root)]  # (tag, node); inline elements share their block's node
     parts: list[str] = []
     linked = anchors = silent = 0
-    raw_end = 0
 
     def flush() -> None:
         nonlocal linked
@@ -95,71 +94,74 @@ def parse(page: str | None) -> Tree:
             anchors -= tag == "a"
             silent -= tag in SILENT
 
-    for m in _TOKEN.finditer(page):
-        at = m.start()
-        if at < raw_end:
-            continue
-        name = m.group(2)
-        if name is None:
-            got = m.group()
-            if not silent and (got[0] != "<" or got == "<"):
-                parts.append(got)
-                if anchors:
-                    linked += len(got)
-            continue
-        tag = name.lower()
-        if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag not in INLINE:
-                        flush()
-                    close(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
-            continue
-        if tag == "br":
-            parts.append(" ")
-            continue
-        if tag in INLINE:
-            if tag not in VOID and not m.group(3).endswith("/"):
-                if tag == "a" and anchors:  # anchors don't nest
-                    k = max(i for i, x in enumerate(stack) if x[0] == "a")
-                    if all(x[0] in INLINE for x in stack[k:]):
+    at = 0
+    while at < len(page):
+        # Anew behind each raw element: a token that starts inside it may reach beyond its end.
+        for m in _TOKEN.finditer(page, at):
+            name = m.group(2)
+            if name is None:
+                got = m.group()
+                if not silent and (got[0] != "<" or got == "<"):
+                    parts.append(got)
+                    if anchors:
+                        linked += len(got)
+                continue
+            tag = name.lower()
+            if m.group(1):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == tag:
+                        if tag not in INLINE:
+                            flush()
                         close(k)
-                stack.append((tag, stack[-1][1]))
-                anchors += tag == "a"
-            continue
-        flush()
-        if tag in BLOCK_ENDS_P or tag in ENDS:
-            ends = ENDS.get(tag, set()) | ({"p"} if tag in BLOCK_ENDS_P else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
-                    close(k)
-                    if tag not in ("tr",):
                         break
-                elif stack[k][0] in SCOPE:
-                    break
-        if tag in VOID:
-            continue
-        words, hidden = [tag], False
-        if m.group(3):
-            for a in _ATTR.finditer(m.group(3)):
-                key, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
-                if key == "style":
-                    hidden |= "display:none" in value.replace(" ", "").lower()
-                elif key == "hidden":
-                    hidden = True
-                else:
-                    words += _NAME.findall(_CAMEL.sub("-", value).lower())
-        if hidden:
-            words.append("*hidden")
-        node = tree.add(stack[-1][1], tag, tuple(words))
-        stack.append((tag, node))
-        silent += tag in SILENT
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b", re.I).search(page, m.end())
-            raw_end = end.start() if end else len(page)
+                    if tag in INLINE and stack[k][0] not in INLINE:
+                        break
+                continue
+            if tag == "br":
+                parts.append(" ")
+                continue
+            if tag in INLINE:
+                if tag not in VOID and not m.group(3).endswith("/"):
+                    if tag == "a" and anchors:  # anchors don't nest
+                        k = max(i for i, x in enumerate(stack) if x[0] == "a")
+                        if all(x[0] in INLINE for x in stack[k:]):
+                            close(k)
+                    stack.append((tag, stack[-1][1]))
+                    anchors += tag == "a"
+                continue
+            flush()
+            if tag in BLOCK_ENDS_P or tag in ENDS:
+                ends = ENDS.get(tag, set()) | ({"p"} if tag in BLOCK_ENDS_P else set())
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in ends:
+                        close(k)
+                        if tag not in ("tr",):
+                            break
+                    elif stack[k][0] in SCOPE:
+                        break
+            if tag in VOID:
+                continue
+            words, hidden = [tag], False
+            if m.group(3):
+                for a in _ATTR.finditer(m.group(3)):
+                    key, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
+                    if key == "style":
+                        hidden |= "display:none" in value.replace(" ", "").lower()
+                    elif key == "hidden":
+                        hidden = True
+                    else:
+                        words += _NAME.findall(_CAMEL.sub("-", value).lower())
+            if hidden:
+                words.append("*hidden")
+            node = tree.add(stack[-1][1], tag, tuple(words))
+            stack.append((tag, node))
+            silent += tag in SILENT
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\b", re.I).search(page, m.end())
+                at = end.start() if end else len(page)
+                break
+        else:
+            break
     flush()
     return tree
 

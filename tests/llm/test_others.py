@@ -167,6 +167,19 @@ def test_pages(spark):
     assert html_text.extract(pages.where("1 = 0")).collect() == []
 
 
+@pytest.mark.parametrize(
+    "raw",
+    ["<script>for(i=0;i<n;i++){f(i)}</script>", "<script>x='<!--'</script>", "<SCRIPT>if(a<b)c='\"'</script >", "<style>a{b:'<c'}</style>", "<script></script>", "<textarea><p>no<q</textarea>", "<script>a<b</script><script>c<d</script>"],
+)
+def test_text_after_raw_elements_in_the_body(raw):
+    tree = html_text.parse(f"<body><p>before</p>{raw}<article><p>after it</p></article><p>last</p></body>")
+    assert [t for t in tree.text if t] == ["before", "after it", "last"]
+
+
+def test_raw_element_without_an_end():
+    assert [t for t in html_text.parse("<p>before</p><script>a<b <p>no</p>").text if t] == ["before"]
+
+
 def test_marginals_equal_enumeration():
     model = html_text.train([])
     r = random.Random(4)
