@@ -194,7 +194,7 @@ def features(tree: Tree) -> list[list[int]]:
             continue
         n = len(text)
         size = min(12, n.bit_length())
-        dots = min(4, len(_PUNCT.findall(text[:2000])) * 40 // max(20, min(n, 2000)))
+        dots = min(4, len(_PUNCT.findall(text)) * 40 // max(20, n))
         link = int(tree.links[k] * 4 + 0.5)
         own = [_slot("l:" + tag), _slot(f"s:{size}"), _slot(f"k:{link}"), _slot(f"d:{dots}:{size > 6}"), _slot(f"c:{any(x in text for x in '©|»')}")]
         up = tree.parent[k]

@@ -180,6 +180,17 @@ def test_raw_element_without_an_end():
     assert [t for t in html_text.parse("<p>before</p><script>a<b <p>no</p>").text if t] == ["before"]
 
 
+def test_punctuation_of_a_whole_long_block():
+    def density(text):
+        slots = html_text.features(html_text.parse(f"<p>{text}</p>"))[-1]
+        return [d for d in range(5) if html_text._slot(f"d:{d}:True") in slots]
+
+    words, prose = "word " * 500, "a, b. " * 1000
+    assert density(words) == [0] and density(prose) == [4]
+    assert density(words + prose) == density(prose + words) == [4]
+    assert density(words * 20 + prose) == [1]
+
+
 def test_marginals_equal_enumeration():
     model = html_text.train([])
     r = random.Random(4)
