@@ -210,6 +210,12 @@ def test_secrets_odd_input(spark):
     assert secrets.find_secrets(frame(spark, []).where("1 = 0")).collect() == []
 
 
+def test_credentials_in_urls_of_any_length(spark):
+    urls = [f"https://{'u' * n}:{'p' * m}@" for n, m in ((1, 3), (80, 80), (81, 3), (1, 93), (500, 5000))]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.find_secrets(frame(spark, [(k, f"see {u}host/x") for k, u in enumerate(urls)])).collect()}
+    assert got == {k: [("url", 4, 4 + len(u))] for k, u in enumerate(urls)}
+
+
 def test_trigram_queries_hold_for_every_match():
     for rule in secrets.RULES:
         q = secrets.trigram_query(rule.pattern)
