@@ -88,9 +88,9 @@ _HANN = np.hanning(WINDOW + 1)[:-1].astype(np.float32)
 
 
 def log_mel(x: np.ndarray) -> np.ndarray:
-    """(frames, MELS) log energies of overlapped frames; what is shorter than a window is padded to one."""
-    if len(x) < WINDOW:
-        x = np.concatenate([x, np.zeros(WINDOW - len(x), np.float32)])
+    """(frames, MELS) log energies of overlapped frames; the last one is padded to a whole window."""
+    lacks = (WINDOW - len(x)) if len(x) < WINDOW else (WINDOW - len(x)) % HOP
+    x = np.concatenate([x, np.zeros(lacks, np.float32)])
     frames = sliding_window_view(x, WINDOW)[::HOP]
     out = np.empty((len(frames), MELS), np.float32)
     for at in range(0, len(frames), 8192):
@@ -165,31 +165,49 @@ def _stored_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([pcm_wav(p) for _, p in made], pa.binary())], ["doc_id", "n_bytes", "wav"])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "spans"]
-    kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of each stored clip, its feature tensors (float32, FRAMES x MELS each) and their time spans."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "starts", "ends", "tensors"]
+    kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
     for batch in doc_batches(batches):
         rows = []
         for doc_id, size, wav in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             _, back = pcm_of(wav)
-            mel, found = features(wav)
-            spans = ",".join(f"{a * HOP * 1000 // OUT_RATE}-{((b - 1) * HOP + WINDOW) * 1000 // OUT_RATE}" for a, b in found)
-            # Means by band and spans, rounded well above what the order of float sums could change.
-            mark = ",".join(f"{x:.2f}" for x in mel.mean(axis=0, dtype=np.float64)) + "|" + spans
-            rows.append((doc_id, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), mark, len(mel), spans))
+            starts, ends, made = zip(*tensors(features(wav)[0]), strict=True)
+            rows.append((doc_id, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), starts, ends, [t.tobytes() for t in made]))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t or batch.schema.field(0).type) for c, t in zip(cols, kinds, strict=True)], names)
 
 
+def mel_of(starts: list[int], ends: list[int], stored_tensors: list[bytes]) -> np.ndarray:
+    """The log-mel frames that tensors were made of: the spans tell how many of each are filled."""
+    full = as_tensor_array([np.frombuffer(t, np.float32) for t in stored_tensors]).to_numpy_ndarray()
+    filled = [((b - a) * OUT_RATE // 1000 - WINDOW) // HOP + 1 for a, b in zip(starts, ends, strict=True)]
+    return np.concatenate([t[:n] for t, n in zip(full, filled, strict=True)])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in doc_batches(batches):
+        rows = []
+        for starts, ends, made in zip(*(batch.column(c).to_pylist() for c in ("starts", "ends", "tensors")), strict=True):
+            mel = mel_of(starts, ends, made)
+            spans = ",".join(f"{a * HOP * 1000 // OUT_RATE}-{((b - 1) * HOP + WINDOW) * 1000 // OUT_RATE}" for a, b in segments(mel))
+            # Means by band and spans, rounded well above what the order of float sums could change.
+            rows.append((",".join(f"{x:.2f}" for x in mel.mean(axis=0, dtype=np.float64)) + "|" + spans, len(mel), spans))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([*batch.columns[:7], *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True))], [*batch.schema.names[:7], "feature", "n_frames", "spans"])
+
+
 def media_digest(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """Per input row the digests of its text stored as audio, and a feature string; null text is empty, and no text is 64 zero bytes.
+    """Per input row the digests of its text stored as audio, and a feature string, from its feature tensors as stored; null text is empty, and no text is 64 zero bytes.
 
     Equal texts give equal values; rows that repeat give the same result each; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     media = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_stored_form, f"doc_id {kind}, n_bytes long, wav binary")
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, spans string"
-    return stored(media, "media").mapInArrow(_digests, schema)
+    own = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+    clips = stored(media, "media").mapInArrow(_clips, f"{own}, starts array<long>, ends array<long>, tensors array<binary>")
+    return stored(clips, "tensors").mapInArrow(_digests, f"{own}, feature string, n_frames long, spans string")
 
 
 def op6_audio(spark, sf_dir: str) -> DataFrame:

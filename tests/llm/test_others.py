@@ -151,6 +151,42 @@ def test_segments_and_tensors(spark):
     assert tensor.to_numpy_ndarray().shape == (len(rows), audio.FRAMES, audio.MELS)
 
 
+def test_all_samples_are_in_a_frame():
+    for n in (1, 199, 200, 201, 279, 280, 281, 1000):
+        x = np.zeros(n, np.float32)
+        frames = len(audio.log_mel(x))
+        assert (frames - 1) * audio.HOP + audio.WINDOW >= n > (frames - 2) * audio.HOP + audio.WINDOW or frames == 1 and n <= audio.WINDOW
+        x[-40:] = np.sin(np.arange(40))[-n:]
+        if n > 240:
+            assert audio.log_mel(x)[-1].max() > audio.log_mel(np.zeros(n, np.float32))[-1].max() + 1
+
+
+def test_media_digests_are_of_stored_tensors(spark, monkeypatch):
+    tables = {}
+
+    def keep(df, name="t"):
+        tables[name] = shared_stored(df, name)
+        return tables[name]
+
+    shared_stored = audio.stored
+    monkeypatch.setattr(audio, "stored", keep)
+    r = random.Random(3)
+    rows = [(k, "".join(r.choice("ab cdé") for _ in range(n))) for k, n in enumerate((0, 1, 64, 399, 600, 16_399, 33_000, 90_000))]
+    got = {x["doc_id"]: x for x in audio.media_digest(frame(spark, rows)).collect()}
+    wavs = {x["doc_id"]: bytes(x["wav"]) for x in tables["media"].collect()}
+    for x in tables["tensors"].collect():
+        mel, found = audio.features(wavs[x["doc_id"]])
+        want = [(a, b, t.tobytes()) for a, b, t in audio.tensors(mel)]
+        assert list(zip(x["starts"], x["ends"], map(bytes, x["tensors"]), strict=True)) == want
+        assert np.array_equal(audio.mel_of(x["starts"], x["ends"], x["tensors"]), mel)
+        g = got.pop(x["doc_id"])
+        assert g["n_frames"] == len(mel) and len(g["spans"].split(",")) == max(1, len(found))
+    assert not got
+    emptied = tables["tensors"].withColumn("tensors", F.expr("transform(tensors, x -> cast(repeat('    ', 4000) as binary))"))
+    monkeypatch.setattr(audio, "stored", lambda df, name="t": emptied if name == "tensors" else shared_stored(df, name))
+    assert len({x["feature"].split("|")[0] for x in audio.media_digest(frame(spark, rows)).collect()}) == 1
+
+
 PAGE = """<html><head><title>no</title><script>var x="<p>no</p>";</script></head><body><div class="menu"><ul><li><a href=/>Home</a><li><a>News</a></ul></div>
 <div class="cookie-banner"><p>We use cookies, as everyone does.</p></div><article><h1>The   title &amp; more</h1><p>First paragraph of the text, with <b>bold</b> words &eacute;&#33; and so on.<br>Second line of it.
 <p>Next paragraph, unclosed, which is long enough to be read. It has two sentences.</article><div id="comments"><p>I like this, thanks a lot for it.</p></div><footer>&copy; 2020 site</footer></body></html>"""
