@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
 from decimal import Context, Decimal, InvalidOperation, ROUND_DOWN
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrel.operators.infer import path_of
+from quarrel.operators.infer import path_of, tag_of
 from quarrel.values import Value, lookup, number_text, parse, render_text
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -32,9 +33,10 @@ def as_int(v: Value, bits: int = 64) -> int | None:
 
 
 def as_double(v: Value) -> float | None:
+    """Numbers; minus zero is zero."""
     tag, x = v
     if tag in ("double", "int32", "int64"):
-        return float(x)
+        return float(x) + 0.0
     if tag == "decimal":
         try:
             return float(x)
@@ -141,12 +143,107 @@ def relaxed_nulls(schema: T.StructType) -> T.StructType:
 
 
 def decode(docs: DataFrame, schema: T.StructType, column: str = "doc", columns: list[str] | None = None) -> DataFrame:
-    """The typed columns of extended-JSON documents; ``columns`` limits the work to those a query needs."""
+    """The typed columns of extended-JSON documents; ``columns`` limits the work to those a query needs.
+
+    Documents whose values in the chosen columns have the shapes that :func:`_plain` knows are decoded by expressions, which
+    filters pass through; the others (another type than the column's, a wrapper out of the ordinary) go to Python. A
+    document takes one of the two ways, and both give the same.
+    """
     chosen = relaxed_nulls(T.StructType([f for f in schema if columns is None or f.name in columns]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch_of(chosen, [parse(t) for t in batch.column(0).to_pylist()])
 
-    out = docs.select(column).mapInArrow(run, chosen)
-    return out.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata or {}) for f in chosen))
+    texts = docs.select(F.col(column).alias("doc"))
+    if not chosen.fields:
+        return texts.select()
+    # Parsed once: with a part that isn't deterministic, the parse isn't copied into every condition that is put above it.
+    read = texts.select("doc", F.when(F.spark_partition_id() >= 0, F.try_parse_json("doc")).alias("v"))
+    found = [_plain(f.dataType, tag_of(f), _path(_steps(f))) for f in chosen]
+    odd = F.col("v").isNull() & F.col("doc").isNotNull() & (F.trim("doc") != "")
+    for _, other in found:
+        odd = odd | other
+    odd = F.coalesce(odd, F.lit(False))
+    named = lambda c, f: c.cast(f.dataType).alias(f.name, metadata=f.metadata or {})
+    plain = read.where(~odd).select(*(named(value, f) for (value, _), f in zip(found, chosen, strict=True)))
+    rest = read.where(odd).select("doc").mapInArrow(run, chosen)
+    return plain.unionAll(rest.select(*(named(F.col(f"`{f.name}`"), f) for f in chosen)))
+
+
+# --- the same by expressions ----------------------------------------------------------------------------------------------
+
+#: Shapes, as ``schema_of_variant`` puts them, that a kind of column holds as they are; of a wrapper also what its text must match.
+_LEAVES = {T.BooleanType: "BOOLEAN", T.IntegerType: "BIGINT", T.LongType: "BIGINT", T.DoubleType: r"BIGINT|DOUBLE|DECIMAL\([0-9]+,[0-9]+\)", T.StringType: "STRING|BOOLEAN|BIGINT"}
+_OID = (r"OBJECT<`\$oid`: STRING>", '["$oid"]', "^[0-9a-fA-F]{24}$")
+_TIME = (r"OBJECT<`\$date`: STRING>", '["$date"]', r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.][0-9]{1,3})?Z$")
+_BYTES = (r"OBJECT<`\$binary`: OBJECT<base64: STRING, subType: STRING>>", '["$binary"].base64', "^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+_DIGITS = (r"OBJECT<`\$numberDecimal`: STRING>", '["$numberDecimal"]', "^-?[0-9]{{1,{0}}}([.][0-9]+)?$")
+#: Parts whose text is their JSON as it stands: no fractions, which are written otherwise, no wrappers, no names or elements out of the ordinary.
+_TEXT = r"STRING|BOOLEAN|BIGINT|(OBJECT|ARRAY)<(?!.*(DECIMAL|DOUBLE|VARIANT|[$`])).*>"
+_NONE = "(?!)"
+
+
+def _path(keys: tuple[str, ...]) -> str | None:
+    """A path in a variant; None if a key can't be spelled there."""
+    if any("\\" in k or "'" in k and '"' in k for k in keys):
+        return None
+    return "$" + "".join(f"['{k}']" if '"' in k else f'["{k}"]' for k in keys)
+
+
+def _get(path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get("v", F.lit(path), kind)
+
+
+def _shapes(kind: T.DataType) -> str:
+    """The shapes that one cast turns into ``kind``: parts of plain leaves, and nothing in them that the kind doesn't name."""
+    if isinstance(kind, T.ArrayType):
+        item = _shapes(kind.elementType)
+        return _NONE if item == _NONE else f"ARRAY<(?:VOID|{item})>"
+    if isinstance(kind, T.StructType):
+        names = sorted(kind, key=lambda f: f.name.encode())
+        parts = [_shapes(f.dataType) if re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", f.name) and not isinstance(f.dataType, T.StringType) or tag_of(f) == "string" else _NONE for f in names]
+        return _NONE if _NONE in parts else "OBJECT<" + "".join(f"(?:{f.name}: (?:VOID|{p})(?:, )?)?" for f, p in zip(names, parts, strict=True)) + ">"
+    return _LEAVES.get(type(kind), _NONE)
+
+
+def _plain(kind: T.DataType, tag: str, path: str | None) -> tuple[Column, Column]:
+    """(the value at a path of ``v`` as ``kind``, whether it is one that Python is to decode instead)."""
+    if path is None:
+        return F.lit(None), F.lit(True)
+    shape = F.schema_of_variant(_get(path))
+    is_not = lambda shapes: ~F.coalesce(shape.rlike(f"^(?:VOID|{shapes})$"), F.lit(True))
+    wrapped = {"objectId": _OID}.get(tag) if isinstance(kind, T.StringType) else {T.TimestampType: _TIME, T.BinaryType: _BYTES, T.DecimalType: _DIGITS}.get(type(kind))
+    if wrapped:
+        shapes, inner, pattern = wrapped
+        text = _get(path + inner, "string")
+        if isinstance(kind, T.DecimalType):
+            pattern = pattern.format(max(1, kind.precision - kind.scale - 1))
+            cut = F.regexp_extract(text, "^-?[0-9]+" + (f"([.][0-9]{{1,{kind.scale}}})?" if kind.scale else ""), 0)
+            value = cut.cast(kind)
+        else:
+            value = {T.TimestampType: lambda: text.try_cast("timestamp"), T.BinaryType: lambda: F.unbase64(text), T.StringType: lambda: F.lower(text)}[type(kind)]()
+        bad = F.coalesce(~text.rlike(pattern), F.lit(False))
+        return F.when(~bad, value), is_not(shapes) | bad
+    if isinstance(kind, T.StringType) and tag != "string":
+        if "'" in path:
+            return _get(path, "string"), is_not("STRING")
+        # An escape may be spelled in more than one way.
+        return F.get_json_object("doc", path.replace('"', "'")), is_not(_TEXT) | (F.contains("doc", F.lit("\\")) & shape.rlike("^(OBJECT|ARRAY)"))
+    if isinstance(kind, T.StructType) and _shapes(kind) == _NONE:
+        parts = [_plain(f.dataType, tag_of(f), None if path is None or (own := _path((f.name,))) is None else path + own[1:]) for f in kind]
+        odd = is_not(r"OBJECT<(?!`?[$]).*>")
+        for _, other in parts:
+            odd = odd | other
+        value = F.struct(*(c.cast(f.dataType).alias(f.name) for (c, _), f in zip(parts, kind, strict=True)))
+        return F.when(_get(path).isNotNull() & ~F.is_variant_null(_get(path)), value), odd
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.ArrayType):
+        item = _shapes(kind.elementType)
+        lone = F.array(_get(path, kind.elementType.simpleString())) if item != _NONE else F.lit(None)
+        if item == _NONE:
+            return F.lit(None).cast(kind), is_not(_NONE)
+        return F.when(shape.startswith("ARRAY"), _get(path, kind.simpleString())).when(shape != "VOID", lone), is_not(f"{_shapes(kind)}|{item}")
+    shapes = _shapes(kind)
+    if shapes == _NONE:
+        return F.lit(None).cast(kind), is_not(_NONE)
+    return _get(path, kind.simpleString()), is_not(shapes)

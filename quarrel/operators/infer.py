@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,25 +129,48 @@ def tree(counts: Iterable[tuple[tuple, str, int]]) -> dict[str, Node]:
     return root.keys
 
 
+def _batch(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([json.dumps(p) for p, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["path", "type", "n"])
+
+
+def shape(doc: Column) -> Column:
+    """A text that documents share only if they have the same types at the same paths: what only a value's content tells is cut.
+
+    Strings lose their text and numbers their digits, by class; keys stay, and so does what a wrapper's type may hang on.
+    """
+    text, number, colon = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"-?[0-9]++", r"\s*+:\s*+"
+    day = r"(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
+    time = rf"(?!0000)[0-9]{{4}}-{day}T(?:[01][0-9]|2[0-3])(?::[0-5][0-9]){{2}}(?:[.][0-9]{{1,3}})?Z"
+    # What other wrappers hold tells their type in ways of its own: such a document is its own shape.
+    whole, plain = doc, ~doc.rlike(r'"\$(?!oid"|numberDecimal"|numberInt"|numberLong"|numberDouble"|date"\s*:\s*")')
+    # Wrappers lose a well-formed value; then strings lose their text, but for keys and what is left behind a wrapper's key; then numbers.
+    doc = F.regexp_replace(doc, rf'("\$oid"{colon})"[0-9a-fA-F]{{24}}"|("\$numberDecimal"{colon})"[^"\\]*+"|("\$date"{colon})"{time}"|({text})', "$1$2$3$4")
+    doc = F.regexp_replace(doc, rf'("\$[A-Za-z]++"{colon}{text}|{text}\s*+:)|{text}', '$1""')
+    doc = F.regexp_replace(doc, rf"({text}|{number}[.eE][^,\]\}}\s]*+|-?[0-9]{{10,}}+)|{number}", "$1i")
+    return F.when(plain, F.regexp_replace(doc, rf"({text}|-?[0-9]{{10,}}+(?![.eE]))|{number}[.eE][^,\]\}}\s]*+", "$1d")).otherwise(whole)
+
+
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts[(), "document"] += 1
-            observe(parse(text), counts)
+        for text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own: Counter = Counter({((), "document"): 1})
+            observe(parse(text), own)
+            for k, c in own.items():
+                counts[k] += c * n
         if len(counts) > 100_000:
             yield _batch(counts)
             counts = Counter()
     yield _batch(counts)
 
 
-def _batch(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([json.dumps(p) for p, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["path", "type", "n"])
-
-
 def observed(docs: DataFrame, column: str = "doc") -> DataFrame:
-    """(path, type, n): how often each type occurs at each path (a JSON list of steps); the empty path counts documents."""
-    return docs.select(column).mapInArrow(_observed, "path string, type string, n long").groupBy("path", "type").agg(F.sum("n").alias("n"))
+    """(path, type, n): how often each type occurs at each path (a JSON list of steps); the empty path counts documents.
+
+    Documents of one shape are counted first, by expressions; Python sees one of each.
+    """
+    shapes = docs.groupBy(shape(F.col(column)).alias("shape")).agg(F.min(column).alias("doc"), F.count("*").alias("n")).select("doc", "n")
+    return shapes.mapInArrow(_observed, "path string, type string, n long").groupBy("path", "type").agg(F.sum("n").alias("n"))
 
 
 def infer(docs: DataFrame, column: str = "doc", max_depth: int = 4) -> T.StructType:
@@ -185,14 +208,29 @@ def tag_of(f: T.StructField) -> str:
     return (f.metadata or {}).get(TAG, "unknown")
 
 
-def sample(docs: DataFrame, size: int = 1000, recent: float = 0.25, id_column: str = "_id") -> DataFrame:
+def id_key(doc: Column) -> Column:
+    """What documents are ordered by: the id's place among types, its number, and its text. Numbers order as numbers however they are written."""
+    v = F.try_variant_get(F.try_parse_json(doc), F.lit("$._id"), "variant")
+    shape = F.schema_of_variant(v)
+    inner = lambda key, kind: F.try_variant_get(v, F.lit(f'$["{key}"]'), kind)
+    number = F.when(shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL"), F.try_variant_get(v, F.lit("$"), "decimal(38,9)"))
+    number = F.coalesce(number, *(inner(k, "decimal(38,9)") for k in ("$numberInt", "$numberLong", "$numberDecimal", "$numberDouble")))
+    text = F.coalesce(inner("$oid", "string"), inner("$date", "string"), F.to_json(v))
+    rank = F.when(v.isNull() | (shape == "VOID"), 0).when(number.isNotNull(), 1).when(shape == "STRING", 2).when(shape.startswith("OBJECT<`$oid`"), 4).when(shape.startswith("OBJECT<`$date`"), 5).otherwise(3)
+    return F.when(v.isNotNull(), F.struct(rank.alias("rank"), number.alias("number"), text.alias("text")))
+
+
+def sample(docs: DataFrame, size: int = 1000, recent: float = 0.25, id_column: str = "_id", watch: Observation | None = None) -> DataFrame:
     """The documents that inference looks at: the newest by id, and others by the order of a hash of the id.
 
-    ``recent`` (held between 0 and 1) is the newest documents' share. The order makes the sample repeatable.
+    ``recent`` (held between 0 and 1) is the newest documents' share. The order makes the sample repeatable. Both parts keep
+    the best rows of each partition while they scan; nothing is sorted whole. ``watch`` gets the number of documents ``n``
+    and their bytes ``size`` from the pass that is made anyway.
     """
     size = max(1, size)
     newest = int(size * min(1.0, max(0.0, recent)))
-    top = docs.orderBy(F.desc_nulls_last(id_column)).limit(newest)
+    seen = docs if watch is None else docs.observe(watch, F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("doc")), F.lit(0)).alias("size"))
     if newest >= size:
-        return top
-    return top.unionByName(docs.orderBy(F.xxhash64(id_column), id_column).limit(size - newest))
+        return seen.orderBy(F.desc_nulls_last(id_column)).limit(newest)
+    others = seen.orderBy(F.xxhash64(id_column), id_column).limit(size - newest)
+    return docs.orderBy(F.desc_nulls_last(id_column)).limit(newest).unionByName(others) if newest else others

@@ -6,6 +6,12 @@ import os
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
+
+from quarrel.operators import predicate
+from quarrel.operators.decode import decode
+
 #: Fixed values of the scan planner.
 PARALLEL_FROM = 100_000
 MOST_PARTS = 8
@@ -43,6 +49,29 @@ class ScanPlan:
             out.append({"$project": projection(self.columns)})
         return out
 
+    def run(self, docs: DataFrame, schema: T.StructType, again: list[Column] = ()) -> DataFrame:
+        """The plan over a collection (``doc``) of that schema: its stages as DataFrame operations, lazily.
+
+        ``again``: conditions that the filter only approximates; all columns are decoded then, and those not read go in the plan.
+
+        Only the columns that a stage names are decoded. The filter is put in terms of decoded columns, so it stands right
+        above the scan and never sees a value that the result wouldn't show.
+        """
+        match = self.match()
+        needed = None if self.columns is None or again else {p.split(".")[0] for p in [*self.columns, *(path for path, _ in self.sort), *predicate.paths(match)]}
+        rows = decode(docs, schema, columns=None if needed is None else [n for n in schema.names if n in needed])
+        if match is not None:
+            rows = rows.where(predicate.as_column(match, schema))
+        for condition in again:
+            rows = rows.where(condition)
+        if self.sort:
+            rows = rows.orderBy(*(predicate.column_at(path).asc() if up else predicate.column_at(path).desc() for path, up in self.sort))
+        if self.skip > 0:
+            rows = rows.offset(self.skip)
+        if self.limit is not None and self.limit >= 0:
+            rows = rows.limit(self.limit)
+        return rows if self.columns is None else rows.select(*(predicate.column_at(p).alias(p) for p in projection(self.columns) if p in self.columns))
+
 
 def projection(paths: list[str]) -> dict[str, int]:
     """Paths to fetch, without those below another; the id is left out unless asked for."""

@@ -7,29 +7,34 @@ vary, conflict, or are missing, so that the expected result can be put in SQL ov
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrel.operators import predicate as p
-from quarrel.operators import scan
 from quarrel.operators.decode import decode
-from quarrel.operators.infer import infer, is_mixed, tag_of
+from quarrel.operators.infer import id_key, infer, is_mixed, sample, tag_of
 from quarrel.plans import compat, render
-from quarrel.plans.service import Engine
+from quarrel.plans.service import Engine, sqlstate
 from quarrel.session import scoped
 from quarrel.sources import registry as reg
-from quarrel.sources.documents import DocumentSource, explained
+from quarrel.sources.documents import load
 from quarrel.sources.store import CatalogStore
+from quarrel.values import parse
 
 NEWEST = 99
 
 
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, k): one document per order and its key."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    # A small file is one row group, which one task reads; a collection comes in many parts.
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(spark.sparkContext.defaultParallelism)
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     newest = orders.select("o_orderkey").orderBy(F.desc("o_orderkey")).limit(NEWEST).agg(F.min("o_orderkey").alias("least"))
     k = "o_orderkey"
@@ -101,17 +106,32 @@ def decoded_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts for predicates, three ways: by the engine, by the document filter, and by whether they agree row by row."""
+    """Counts for predicates, by the engine's columns and by the document filter on the raw documents, in one pass each.
+
+    The two agree where the filter is exact; elsewhere the filter lets more through.
+    """
     docs = collection(scoped(spark), sf_dir).select("doc")
     schema = infer(docs)
-    made = docs.select("doc", F.col("doc").alias("raw"))
-    rows = decode(made, schema).withColumn("__n", F.lit(1))
-    out = None
-    for name, e in PREDICATES.items():
-        t = p.translate(e, schema)
-        one = rows.where(p.column(e)).agg(F.count("*").alias("n")).select(F.lit(name).alias("predicate"), "n", F.lit(json.dumps(p.shown(t.filter), sort_keys=True) if t else "none").alias("filter"), F.lit(bool(t and t.exact)).alias("exact"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    found = {name: p.translate(e, schema) for name, e in PREDICATES.items()}
+    rows = decode(docs, schema)
+    counted = rows.agg(*(F.count(F.when(p.column(e), 1)).alias(name) for name, e in PREDICATES.items()))
+    counted = counted.select(F.explode(F.create_map(*(x for n in PREDICATES for x in (F.lit(n), F.col(n))))).alias("predicate", "n"))
+    raw = docs.mapInArrow(_passed({n: t.filter for n, t in found.items() if t}), "predicate string, passed long").groupBy("predicate").agg(F.sum("passed").alias("passed"))
+    told = spark.createDataFrame([(n, json.dumps(p.shown(t.filter), sort_keys=True) if t else "none", bool(t and t.exact)) for n, t in found.items()], "predicate string, filter string, exact boolean")
+    return counted.join(F.broadcast(told), "predicate").join(F.broadcast(raw), "predicate", "left").select("predicate", "n", "passed", "filter", "exact")
+
+
+def _passed(filters: dict[str, dict]):
+    def run(batches):
+        seen = dict.fromkeys(filters, 0)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                doc = parse(text)
+                for name, f in filters.items():
+                    seen[name] += p.matches(f, doc)
+        yield pa.RecordBatch.from_pydict({"predicate": pa.array(list(seen), pa.string()), "passed": pa.array(list(seen.values()), pa.int64())})
+
+    return run
 
 
 def C(*names: str) -> p.Col:  # noqa: N802
@@ -145,22 +165,50 @@ PREDICATES: dict[str, p.Expr] = {
 }
 
 
+_CONDITIONS = {"status": "status = 'F'", "range": "orderNo BETWEEN 10 AND 500 AND qty > 3", "not_in": "channel NOT IN ('web')", "null": "channel IS NULL", "like": "customer.name LIKE 'Customer%'", "or": "status = 'P' OR flag", "nested": "customer.city = 'BUILDING'"}
+
+
 def pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The collection through the document source, with pushdown on and off: the same rows either way."""
-    own = scoped(spark)
-    own.dataSource.register(DocumentSource)
-    docs = collection(own, sf_dir).select("doc")
-    path = f"{_folder(own)}/docs"
-    docs.write.text(path)
-    schema = infer(docs)
-    conditions = {"status": "status = 'F'", "range": "orderNo BETWEEN 10 AND 500 AND qty > 3", "not_in": "channel NOT IN ('web')", "null": "channel IS NULL", "like": "customer.name LIKE 'Customer%'", "or": "status = 'P' OR flag", "nested": "customer.city = 'BUILDING'"}
-    out = None
-    for mode in ("true", "false"):
-        for name, condition in conditions.items():
-            table = own.read.format("documents").schema(schema).option("pushdown", mode).option("complete", "true").load(path)
-            one = table.where(condition).agg(F.count("*").alias("n")).select(F.lit(name).alias("predicate"), F.lit(mode == "true").alias("pushed"), "n")
-            out = one if out is None else out.unionAll(one)
-    return out
+    """Statements over a collection of files: counts, and whether the plan has the filter at the file scan and reads no other field."""
+    e = engine(spark, sf_dir)
+    path = f"{_folder(e.spark)}/docs"
+    collection(e.spark, sf_dir).select("doc").write.text(path)
+    e.registry.add("files", "orders", lambda: e.spark.read.text(path).toDF("doc"))
+    out = []
+    for name, condition in _CONDITIONS.items():
+        df = e.sql(f"SELECT count(*) AS n FROM files.orders WHERE {condition}")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.split("\n") if "FileScan" in line]
+        named = set(re.findall(r"[A-Za-z_]+", condition))
+        read = set(re.findall(r'\$\["(\w+)"\]', plan))
+        # From the scan upwards: the parse, shapes of the fields named, and then the condition, before anything is joined or counted.
+        above = [line.strip(" +-:*()0123456789").split(" ")[0] for line in plan.split("\n")]
+        reached = read <= named and len(read) == len(named & {"status", "orderNo", "qty", "channel", "customer", "flag"}) and all("Filter" in above[max(0, k - 4) : k] for k, x in enumerate(above) if x == "FileScan")
+        out.append(df.select(F.lit(name).alias("predicate"), "n", F.lit(bool(scans) and reached).alias("at_the_scan")))
+    return reduce(DataFrame.unionAll, out)
+
+
+_EDGES = {"nan": "x > 3", "not_less": "NOT (x < 3)", "wide": "y = 9007199254740992D", "at_most": "y <= 9007199254740992D", "between": "x BETWEEN 2 AND 5", "outside": "x NOT BETWEEN 2 AND 5", "in": "y IN (9007199254740992D)", "late": "t IS NULL", "cut": "d = 1", "not_true": "b IS NOT TRUE", "text": "s = '5'"}
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that decoding changes (NaN, wide integers, cut decimals, times out of range, other types): the same rows by the source, with pushdown on and off, and by the engine."""
+    e = engine(spark, sf_dir)
+    k = "o_orderkey"
+    x = f"""CASE WHEN {k} % 3 = 0 THEN '{{"$numberDouble":"NaN"}}' ELSE concat({k} % 7, '.5') END"""
+    t = f"""CASE WHEN {k} % 4 = 0 THEN '{{"$date":{{"$numberLong":"99999999999999999"}}}}' ELSE '{{"$date":"2020-01-01T00:00:00Z"}}' END"""
+    d = f"""CASE WHEN {k} % 2 = 0 THEN '1.000000000001' ELSE '2' END"""
+    b = f"""CASE WHEN {k} % 5 = 0 THEN '"yes"' WHEN {k} % 5 = 1 THEN 'false' ELSE 'true' END"""
+    s = f"""CASE WHEN {k} % 3 = 1 THEN '5' ELSE '"5x"' END"""
+    doc = f"""concat('{{"_id":', {k}, ',"x":', {x}, ',"y":', 9007199254740991 + {k} % 4, ',"t":', {t}, ',"d":{{"$numberDecimal":"', {d}, '"}},"b":', {b}, ',"s":', {s}, '}}')"""
+    path = f"{_folder(e.spark)}/edges"
+    e.spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(f"{doc} AS doc").write.text(path)
+    schema = T.StructType([T.StructField(n, T._parse_datatype_string(kind), True, {"path": n, "tag": tag}) for n, kind, tag in (("x", "double", "double"), ("y", "double", "double"), ("t", "timestamp", "date"), ("d", "decimal(38,10)", "decimal"), ("b", "boolean", "bool"), ("s", "string", "string"))])
+    out = []
+    for name, condition in _EDGES.items():
+        ways = {"engine": decode(e.spark.read.text(path).toDF("doc"), schema), "source": load(e.spark, path, schema), "source_off": load(e.spark, path, schema, pushdown="false")}
+        out += [df.where(condition).agg(F.count("*").alias("n")).select(F.lit(name).alias("predicate"), F.lit(way).alias("way"), "n") for way, df in ways.items()]
+    return reduce(DataFrame.unionAll, out)
 
 
 def _folder(spark: SparkSession) -> str:
@@ -177,12 +225,18 @@ def id_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages of a scan plan, and the same plan run by Spark."""
-    plan = scan.ScanPlan(filter={"status": {"$eq": "F"}}, columns=["_id", "status"], sort=[("_id", False)], skip=3, limit=5)
-    rows = decoded(spark, sf_dir, ["_id", "status"]).where("status = 'F'").orderBy(F.desc("_id")).offset(plan.skip).limit(plan.limit)
+    """A scan plan run by the engine: filter, order, offset, limit and columns; its stages as text."""
+    plan, rows = engine(spark, sf_dir).scan("shop", "orders", [p.Cmp("=", C("status"), L("F"))], columns=["_id", "status"], sort=[("_id", False)], skip=3, limit=5)
     return rows.select("_id", "status", F.lit(" ".join(next(iter(s)) for s in plan.stages())).alias("stages"))
 
 
+def numeric_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest documents by numeric ids, some written with a wrapper: by their numbers, not their text."""
+    e = engine(spark, sf_dir)
+    docs = e.spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("""concat('{"_id":', CASE WHEN o_orderkey % 3 = 0 THEN concat('{"$numberLong":"', o_orderkey, '"}') ELSE string(o_orderkey) END, '}') AS doc""", "o_orderkey AS k")
+    return sample(docs.withColumn("_id", id_key(F.col("doc"))), NEWEST, 1.0).select("k")
+
+
 def _scalar(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -280,8 +334,60 @@ def table_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explained_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = engine(spark, sf_dir).explain_scan("shop", "orders", list(PREDICATES.values())[:3], columns=["_id"], limit=4, verbose=True)
+    return _scalar(spark, list(enumerate(text.split("\n")[:2])), "n int, line string")
+
+
+def explained_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXPLAIN as a statement, and what of its plan a client would look for."""
+    text = engine(spark, sf_dir).sql("EXPLAIN SELECT status, count(*) FROM shop.orders WHERE status = 'F' GROUP BY status").first()[0]
+    return _scalar(spark, [(word, word in text) for word in ("Physical Plan", "Filter", "HashAggregate", "= F")], "word string, shown boolean")
+
+
+def unknown_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inference counts: how often each field occurs, as the share of documents that have it."""
     schema = infer(collection(scoped(spark), sf_dir))
-    return _scalar(spark, list(enumerate(explained(schema, list(PREDICATES.values())[:3], 4, verbose=True).split("\n"))), "n int, line string")
+    return _scalar(spark, [(f.name, round(float(f.metadata["freq"]), 4)) for f in schema], "name string, freq double")
+
+
+def found_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection added after the first statements, one that shadows, and what the store then knows."""
+    e = engine(spark, sf_dir)
+    e.sql("SELECT _id FROM mailbox.profile")
+    e.registry.add("mailbox", "late", lambda: e.spark.createDataFrame([('{"_id": 1, "a": null}',), ('{"_id": 2}',)], "doc string"))
+    n = e.sql("SELECT count(*) AS n FROM mailbox.late WHERE a IS NULL").first()["n"]
+    known = ",".join(e.registry.store.known("mailbox"))
+    e.registry.add_table("mailbox", "plain", e.spark.range(3).toDF("k"))
+    shadowed = ",".join(e.registry.listing("mailbox"))
+    return _scalar(spark, [(n, known, shadowed, e.sql("SELECT max(k) AS k FROM mailbox.plain").first()["k"])], "n long, known string, shadowed string, k long")
+
+
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that would write, however they begin, by both ways in: all refused, and nothing written."""
+    e = engine(spark, sf_dir)
+    path = f"{_folder(e.spark)}/refused"
+    texts = {
+        "with": f"WITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{path}' USING parquet SELECT * FROM a",
+        "from": f"FROM (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{path}' USING parquet SELECT x",
+        "explain": "EXPLAIN INSERT INTO t SELECT 1",
+        "copy": f"COPY (SELECT 1) TO '{path}'",
+        "table": "CREATE TABLE t AS SELECT 1 AS x",
+        "view": "CREATE VIEW v AS SELECT 1 AS x",
+        "call": "SELECT reflect('java.lang.System', 'nanoTime')",
+        "immediate": "EXECUTE IMMEDIATE 'DROP TABLE t'",
+    }
+    rows = []
+    for name, text in texts.items():
+        for way in (e.sql, e.query):
+            try:
+                way(text)
+                state = "none"
+            except Exception as error:
+                state = sqlstate(error)
+            rows.append((name, way.__name__, state))
+    jvm_path = e.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = jvm_path.getFileSystem(e.spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+    return _scalar(spark, [(*r, there) for r in rows], "name string, way string, state string, written boolean")
 
 
 QUERIES = {
@@ -314,6 +420,12 @@ QUERIES = {
     "k3_client_types": client_types,
     "h5_query_api": read_only_query,
     "d11_top_senders": top_senders,
+    "s8_numeric_ids": numeric_ids,
+    "p3_edges": edges,
+    "i3_frequencies": unknown_columns,
+    "s19_found_anew": found_anew,
+    "h5_read_only": refused,
+    "q6_explain": explained_statement,
     "h2_health": health,
     "h4_table": table_tree,
     "x1_explain_scan": explained_scan,
@@ -332,7 +444,7 @@ _WHERE = {
     "p3": ("order_no >= 100", '{"orderNo": {"$gte": 100}}', True),
     "p4": ("100 < order_no", '{"orderNo": {"$gt": 100}}', True),
     "p5": ("status = 'F' AND order_no < qty", '{"status": {"$eq": "F"}}', False),
-    "p6": ("status = 'P' OR qty < 3", '{"$or": [{"status": {"$eq": "P"}}, {"qty": {"$lt": 3.0}}]}', True),
+    "p6": ("status = 'P' OR qty < 3", '{"$or": [{"status": {"$eq": "P"}}, {"qty": {"$lt": 3.0}}]}', False),
     "p7": ("NOT (channel = 'mobile' AND status = 'F')", '{"$or": [{"$and": [{"channel": {"$ne": "mobile"}}, {"channel": {"$ne": null}}]}, {"$and": [{"status": {"$ne": "F"}}, {"status": {"$ne": null}}]}]}', True),
     "p7b": ("NOT (channel = 'mobile')", '{"$and": [{"channel": {"$ne": "mobile"}}, {"channel": {"$ne": null}}]}', True),
     "p8": ("channel IS NULL", '{"channel": null}', True),
@@ -341,15 +453,20 @@ _WHERE = {
     "p11": ("flag IS NOT TRUE", '{"$or": [{"flag": false}, {"flag": null}]}', True),
     "p12": ("flag", '{"flag": true}', True),
     "p13": ("order_no BETWEEN 10 AND 90", '{"orderNo": {"$gte": 10, "$lte": 90}}', True),
-    "p14": ("qty NOT BETWEEN 5 AND 45", '{"$and": [{"$or": [{"qty": {"$lt": 5.0}}, {"qty": {"$gt": 45.0}}]}, {"qty": {"$ne": null}}]}', True),
+    "p14": ("qty NOT BETWEEN 5 AND 45", '{"$and": [{"$or": [{"qty": {"$lt": 5.0}}, {"$or": [{"qty": {"$gt": 45.0}}, {"qty": {"$eq": NaN}}]}]}, {"qty": {"$ne": null}}]}', False),
     "p15": ("status IN ('F', 'P')", '{"status": {"$in": ["F", "P"]}}', True),
     "p16": ("channel NOT IN ('mobile')", '{"$and": [{"channel": {"$nin": ["mobile"]}}, {"channel": {"$ne": null}}]}', True),
-    "p17": ("name LIKE 'Customer#%1'", '{"customer.name": {"$options": "s", "$regex": "^Customer#.*1$"}}', True),
+    "p17": ("name LIKE 'Customer#%1'", '{"customer.name": {"$options": "s", "$regex": "^Customer\\\\#.*1$"}}', True),
     "p18": ("status ILIKE 'f'", '{"status": {"$options": "is", "$regex": "^f$"}}', True),
     "p19": ("status NOT LIKE 'F'", '{"$and": [{"status": {"$not": {"$options": "s", "$regex": "^F$"}}}, {"status": {"$ne": null}}]}', True),
     "p21": ("status IN ('F', 'O')", "none", False),
     "p24": ("city = 'BUILDING'", '{"customer.city": {"$eq": "BUILDING"}}', True),
 }
+#: What filters that aren't exact let through, where that isn't the same.
+_LOOSER = {"p5": "status = 'F'"}
+_EDGE_SQL = {"nan": "x > 3", "not_less": "NOT (x < 3)", "wide": "y = 9007199254740992", "at_most": "y <= 9007199254740992", "between": "x BETWEEN 2 AND 5", "outside": "x NOT BETWEEN 2 AND 5", "in": "y IN (9007199254740992)", "late": "t IS NULL", "cut": "d = 1", "not_true": "b IS NOT TRUE", "text": "s = '5'"}
+_EDGE_ROWS = """WITH e AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'NaN'::DOUBLE ELSE o_orderkey % 7 + 0.5::DOUBLE END AS x, (9007199254740991 + o_orderkey % 4)::BIGINT::DOUBLE AS y, CASE WHEN o_orderkey % 4 <> 0 THEN 1 END AS t,
+  CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS d, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE TRUE END AS b, CASE WHEN o_orderkey % 3 = 1 THEN '5' ELSE '5x' END AS s FROM orders)"""
 _PUSHED = {"status": "status = 'F'", "range": "order_no BETWEEN 10 AND 500 AND qty > 3", "not_in": "channel NOT IN ('web')", "null": "channel IS NULL", "like": "name LIKE 'Customer%'", "or": "status = 'P' OR flag", "nested": "city = 'BUILDING'"}
 
 
@@ -370,8 +487,15 @@ ORACLES = {
     ),
     "s8_sampled_schema": _rows("name, tag", ("_id", "objectId"), ("channel", "string"), ("createdAt", "date"), ("customer", "document"), ("deep", "document"), ("flag", "bool"), ("note", "json"), ("orderNo", "int32"), ("qty", "double"), ("status", "string"), ("tags", "array:string"), ("total", "decimal")),
     "d3_decoded": _DOCS + " SELECT * FROM d",
-    "p_filters": _DOCS + " " + " UNION ALL ".join(f"SELECT '{k}' AS predicate, (SELECT COUNT(*) FROM d WHERE {w}) AS n, '{f}' AS filter, {str(x).upper()} AS exact" for k, (w, f, x) in _WHERE.items()),
-    "s2_pushdown": _DOCS + " " + " UNION ALL ".join(f"SELECT '{k}' AS predicate, {m} AS pushed, (SELECT COUNT(*) FROM d WHERE {w}) AS n" for k, w in _PUSHED.items() for m in ("TRUE", "FALSE")),
+    "p_filters": _DOCS + " " + " UNION ALL ".join(f"SELECT '{k}' AS predicate, (SELECT COUNT(*) FROM d WHERE {w}) AS n, {'NULL' if f == 'none' else '(SELECT COUNT(*) FROM d WHERE ' + _LOOSER.get(k, w) + ')'} AS passed, '{f}' AS filter, {str(x).upper()} AS exact" for k, (w, f, x) in _WHERE.items()),
+    "s2_pushdown": _DOCS + " " + " UNION ALL ".join(f"SELECT '{k}' AS predicate, (SELECT COUNT(*) FROM d WHERE {w}) AS n, TRUE AS at_the_scan" for k, w in _PUSHED.items()),
+    "p3_edges": _EDGE_ROWS + " " + " UNION ALL ".join(f"SELECT '{k}' AS predicate, '{way}' AS way, (SELECT COUNT(*) FROM e WHERE {w}) AS n" for k, w in _EDGE_SQL.items() for way in ("engine", "source", "source_off")),
+    "s8_numeric_ids": f"SELECT o_orderkey AS k FROM orders ORDER BY o_orderkey DESC LIMIT {NEWEST}",
+    "i3_frequencies": _DOCS + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, round((SELECT count(*) FILTER (WHERE {w}) / count(*) FROM o), 4) AS freq" for n, w in {"_id": "TRUE", "channel": "k >= least", "createdAt": "TRUE", "customer": "k % 13 <> 0", "deep": "TRUE", "flag": "TRUE", "note": "k % 5 <> 0", "orderNo": "TRUE", "qty": "TRUE", "status": "TRUE", "tags": "TRUE", "total": "TRUE"}.items()) + ")",
+    "s19_found_anew": "SELECT CAST(2 AS BIGINT) AS n, 'late,profile' AS known, 'plain' AS shadowed, CAST(2 AS BIGINT) AS k",
+    "h5_read_only": " UNION ALL ".join(f"SELECT '{n}' AS name, '{w}' AS way, '25006' AS state, FALSE AS written" for n in ("with", "from", "explain", "copy", "table", "view", "call", "immediate") for w in ("sql", "query")),
+    "q6_explain": _rows("word, shown", *((w, True) for w in ("Physical Plan", "Filter", "HashAggregate", "= F"))),
+    "x1_explain_scan": _rows("n, line", (0, "DocumentScan stages=[$match $limit $project] rechecked=3"), (1, '{"$and": [{"$or": [{"status": {"$eq": "F"}}, {"status": {"$not": {"$type": ["null", "string"]}}}]}, {"$or": [{"$and": [{"channel": {"$ne": "mobile"}}, {"channel": {"$ne": null}}]}, {"channel": {"$not": {"$type": ["null", "string"]}}}]}, {"$or": [{"orderNo": {"$gte": 100}}, {"orderNo": {"$not": {"$type": ["null", "int32", "int64", "double", "decimal"]}}}]}]}')),
     "s4_id_ranges": "SELECT COUNT(*) AS rows_n, 1 AS least, 1 AS most FROM orders",
     "l3_scan_plan": _DOCS + " SELECT _id, status, '$match $sort $skip $limit $project' AS stages FROM d WHERE status = 'F' ORDER BY _id DESC LIMIT 5 OFFSET 3",
     "s11_statistics": "SELECT COUNT(*) AS docs, TRUE AS has_bytes, TRUE AS has_mean, '_id' AS indexed FROM orders",

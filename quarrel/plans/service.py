@@ -11,14 +11,24 @@ from typing import Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrel.functions import aliases
+from quarrel.operators import predicate
+from quarrel.operators.decode import relaxed_nulls
 from quarrel.operators.infer import is_mixed, path_of, tag_of
 from quarrel.plans import compat, render, sqltext
+from quarrel.operators.scan import ScanPlan
 from quarrel.session import scoped
+from quarrel.sources.documents import explained
 from quarrel.sources.registry import Registry
 
 DEFAULT_ROWS, MAX_ROWS, DEFAULT_SECONDS = 1000, 10_000, 30
+#: First words of plan nodes that change something, run a script, or run a text that can't be looked into.
+CHANGES = ("Insert", "Overwrite", "Append", "Delete", "Update", "Merge", "Replace", "Create", "Write", "Script", "UnresolvedExecuteImmediate", "CompoundBody")
+#: Functions that call any method of the JVM.
+CALLS = ("reflect", "java_method", "try_reflect")
 READS = ("SELECT", "WITH", "EXPLAIN", "SHOW", "DESCRIBE", "DESC", "VALUES", "TABLE")
 
 
@@ -48,16 +58,76 @@ def sqlstate(error: BaseException) -> str:
     return "58000"
 
 
-def named_columns(toks: list[sqltext.Token]) -> set[str] | None:
-    """Every name a statement mentions, so that no other column need be decoded; None if it may mean all columns."""
-    seen = [t for t in toks if t[0] != "space"]
-    for k, t in enumerate(seen):
-        if t == ("mark", "*") and (seen[k - 1][1].upper() in ("SELECT", "DISTINCT", "ALL", ",", ".") or seen[k - 1] == ("mark", "(") and seen[k - 2][1].upper() != "COUNT"):
-            return None
-        if t[0] == "word" and t[1].upper() in ("NATURAL", "DESCRIBE", "DESC", "TABLE"):
-            if t[1].upper() != "DESC" or k == 0:
-                return None
-    return {text.strip('"`') for kind, text in seen if kind in ("word", "quoted")}
+def refuse_writes(spark: SparkSession, sql: str) -> None:
+    """Refuse a statement whose parsed plan is, or holds anywhere, a command or a write: what its first word is says little.
+
+    Only plans that read pass: EXPLAIN is looked through, DESCRIBE and SHOW are the commands that read.
+    """
+    toks = sqltext.tokens(sql)
+    for k, (kind, text) in enumerate(toks):
+        if kind in ("word", "quoted") and text.strip('`"').lower() in CALLS and toks[sqltext._next(toks, k) : sqltext._next(toks, k) + 1] == [("mark", "(")]:
+            raise compat.ReadOnlyError(f"{text} is refused: it can call anything")
+    sessions = spark.sparkContext._jvm.org.apache.spark.sql.classic.SparkSession
+    sessions.setActiveSession(spark._jsparkSession)  # the parser takes its settings from there
+    found = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while found:
+        node = found.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ExplainCommand":
+            found.append(node.logicalPlan())
+            continue
+        if name.startswith(CHANGES) or (_is_command(spark, node) and not name.startswith(("Describe", "Show"))):
+            raise compat.ReadOnlyError(f"the statement is refused: it would run {name}, and tables are read-only here")
+        for seq in (node.children(), node.innerChildren()):
+            found += [x for x in (seq.apply(k) for k in range(seq.size())) if _is_plan(spark, x)]
+
+
+def _class(spark: SparkSession, name: str):
+    return spark.sparkContext._jvm.java.lang.Class.forName(name, True, spark.sparkContext._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+
+
+def _is_command(spark: SparkSession, node) -> bool:
+    kinds = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+    return any(_class(spark, k).isInstance(node) for k in kinds)
+
+
+def _is_plan(spark: SparkSession, node) -> bool:
+    return _class(spark, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(node)
+
+
+def columns_read(df: DataFrame) -> dict[str, set[str]]:
+    """By table the columns that a statement's optimized plan reads, for tables made by :func:`stand_in`."""
+    owners: dict[int, tuple[str, str]] = {}
+    seen: set[int] = set()
+    found: dict[str, set[str]] = {}
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        for seq in (node.children(), node.subqueries()):
+            todo += [seq.apply(k) for k in range(seq.size())]
+        leaf, used = not node.children().size(), node.references().toSeq()
+        seen |= {used.apply(k).exprId().id() for k in range(used.size())}
+        for a in (node.output().apply(k) for k in range(node.output().size())) if leaf else ():
+            if a.metadata().contains(OWNER):
+                owners[a.exprId().id()] = (a.metadata().getString(OWNER), a.name())
+                found.setdefault(a.metadata().getString(OWNER), set())
+    top = plan.output()
+    seen |= {top.apply(k).exprId().id() for k in range(top.size())}
+    for k, (table, name) in owners.items():
+        if k in seen:
+            found.setdefault(table, set()).add(name)
+    return found
+
+
+#: Key of column metadata that names the table a stand-in's column belongs to.
+OWNER = "quarrel.table"
+
+
+def stand_in(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    """A relation of that schema with no rows that the optimizer doesn't know to be empty; its columns say whose they are."""
+    fields = [T.StructField(f.name, f.dataType, True, {**(f.metadata or {}), OWNER: table}) for f in schema]
+    return spark.createDataFrame(spark.sparkContext.emptyRDD(), T.StructType(fields))
 
 
 class Engine:
@@ -68,43 +138,77 @@ class Engine:
         self.registry = registry or Registry(self.spark)
         self.registry.spark = self.spark
 
-    def _prepared(self, sql: str) -> str:
-        """The statement in Spark's terms, with views in place for the tables it names."""
+    def _prepared(self, sql: str) -> tuple[str, dict[str, tuple[str, str]]]:
+        """The statement in Spark's terms, and by view the (database, table) of what it names."""
         sql = aliases.rewrite(sql)
         toks = sqltext.tokens(sql)
         plain = lambda t: t[1].strip('"`')
         known = {d: set(self.registry.collections.get(d, {})) | set(self.registry.tables.get(d, {})) for d in {*self.registry.collections, *self.registry.tables}}
-        wanted = named_columns(toks)
-        out, k = [], 0
+        out, views, k = [], {}, 0
         while k < len(toks):
             pair = toks[k : k + 3]
             if len(pair) == 3 and pair[1] == ("mark", ".") and pair[0][0] in ("word", "quoted") and pair[2][0] in ("word", "quoted") and not (k and toks[k - 1] == ("mark", ".")):
                 database, name = plain(pair[0]), plain(pair[2])
                 if name in known.get(database, ()):
-                    view = f"{database}__{name}"
-                    self._view(database, name, view, wanted)
-                    out.append(f"`{view}`")
+                    views[f"{database}__{name}"] = (database, name)
+                    out.append(f"`{database}__{name}`")
                     k += 3
                     continue
             if pair[0][0] == "word" and pair[0][1] in known.get(compat.DEFAULT_SCHEMA, ()) and not (k and toks[k - 1] == ("mark", ".")):
-                self._view(compat.DEFAULT_SCHEMA, pair[0][1], pair[0][1], wanted)
+                views[pair[0][1]] = (compat.DEFAULT_SCHEMA, pair[0][1])
             out.append(pair[0][1])
             k += 1
         sql = "".join(out)
+        refuse_writes(self.spark, sql)
         compat.register_views(self.spark, self.registry, sql)
-        return sql
-
-    def _view(self, database: str, name: str, view: str, wanted: set[str] | None) -> None:
-        df = self.registry.resolve(database, name, wanted)
-        if df is not None:
-            df.createOrReplaceTempView(view)
+        return sql, views
 
     def sql(self, sql: str, args: dict[str, Any] | list | None = None) -> DataFrame | compat.Tag:
-        """One statement: a lazy result, or an acknowledgement."""
+        """One statement: a lazy result, or an acknowledgement.
+
+        It is planned twice: over stand-ins of its tables, which tells the columns that it reads, then over scans that decode
+        those. Its filters reach the scans by themselves, as decoding is expressions.
+        """
         got = compat.intercept(sql)
         if isinstance(got, compat.Tag):
             return got
-        return self.spark.sql(self._prepared(got.sql if got else sql.strip().rstrip(";")), args=args)
+        text, views = self._prepared(got.sql if got else sql.strip().rstrip(";"))
+        collections = {v: (d, t) for v, (d, t) in views.items() if d not in self.registry.tables}
+        for view, (database, name) in views.items():
+            if view in collections:
+                stand_in(self.spark, view, self.registry.record(database, name).schema).createOrReplaceTempView(view)
+            else:
+                self.registry.resolve(database, name).createOrReplaceTempView(view)
+        if not collections:
+            return self.spark.sql(text, args=args)
+        read = columns_read(self.spark.sql(text, args=args))
+        for view, (database, name) in collections.items():
+            self._view(database, name, read.get(view)).createOrReplaceTempView(view)
+        return self.spark.sql(text, args=args)
+
+    def _view(self, database: str, name: str, read: set[str] | None) -> DataFrame:
+        """The collection with the columns that a plan reads; the others, which a statement may still name, are null."""
+        rows = self.registry.resolve(database, name, read)
+        schema = self.registry.record(database, name).schema
+        own = set(rows.columns)
+        return rows.select(*(F.col(f"`{f.name}`") if f.name in own else F.lit(None).cast(f.dataType).alias(f.name, metadata=f.metadata or {}) for f in schema))
+
+    def scan(self, database: str, name: str, where: list[predicate.Expr] = (), **stages: Any) -> tuple[ScanPlan, DataFrame]:
+        """A scan without SQL: its plan, with the filter that the predicates translate to, and its rows.
+
+        Predicates that have no filter, or one that isn't exact, are checked again on the rows, before order and limit.
+        """
+        record = self.registry.record(database, name)
+        found = [predicate.translate(e, record.schema, complete=False) for e in where]
+        plan = ScanPlan(filter=predicate.combine(found), **stages)
+        again = [predicate.column(e) for e, t in zip(where, found, strict=True) if t is None or not t.exact]
+        return plan, plan.run(self.registry.docs(database, name), relaxed_nulls(record.schema), again)
+
+    def explain_scan(self, database: str, name: str, where: list[predicate.Expr] = (), verbose: bool = False, **stages: Any) -> str:
+        """The stages of a scan and, if ``verbose``, its filter and the plan that Spark runs."""
+        record = self.registry.record(database, name)
+        plan, rows = self.scan(database, name, where, **stages)
+        return explained(record.schema, list(where), plan, rows if verbose else None)
 
     def run(self, script: str) -> list[DataFrame | compat.Tag]:
         """The statements of a script in order."""
@@ -184,11 +288,3 @@ class Engine:
     def explain(self, sql: str, mode: str = "formatted") -> str:
         got = self.sql(sql)
         return "" if isinstance(got, compat.Tag) else got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
-
-
-def to_json(result: dict) -> str:
-    return json.dumps(result, ensure_ascii=False)
-
-
-def is_read_only(sql: str) -> bool:
-    return bool(re.match(rf"\s*({'|'.join(READS)})\b", sql, re.I))

@@ -4,7 +4,8 @@ Options: ``path`` (a file or folder of lines), ``pushdown`` (true or false, fals
 document, so that filters may be exact), ``columns`` (comma-separated; others stay null), ``split`` (bytes of a part).
 The schema is given by the reader; filters that translate are applied to raw documents before decoding, and Spark checks
 again those that aren't exact. Spark keeps the filters that reached a source with the loaded frame, not with its use in a
-plan: with pushdown on, load the frame anew for every use, or one use's filters would apply to another.
+plan, so a frame with pushdown on serves one use: :func:`load` hands out a new one for every call. The engine doesn't scan
+through this source; its decoding is expressions, which filters pass through (:func:`quarrel.operators.decode.decode`).
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from typing import Any
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import types as T
 
 from quarrel.operators import predicate as p
 from quarrel.operators.decode import batch_of, relaxed_nulls
+from quarrel.operators.scan import ScanPlan
 from quarrel.values import parse
 
 BATCH = 8192
@@ -42,6 +46,23 @@ class DocumentSource(ds.DataSource):
         return DocumentReader(schema, dict(self.options))
 
 
+def register_source(spark: SparkSession) -> None:
+    """Make ``format("documents")`` known to a session; a second call changes nothing."""
+    # Whether a name is taken is looked up in the active session, whichever is asked.
+    spark.sparkContext._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)
+    try:
+        spark.dataSource.register(DocumentSource)
+    except AnalysisException as e:
+        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+            raise
+
+
+def load(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
+    """A frame of the documents at ``path`` for one use, with pushdown on unless the options say otherwise."""
+    register_source(spark)
+    return spark.read.format("documents").schema(schema).options(path=path, **({"pushdown": "true"} | options)).load()
+
+
 class _Part(ds.InputPartition):
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
@@ -159,11 +180,12 @@ def plain(value: Any) -> Any:
     return base64.b64encode(value).decode() if isinstance(value, bytes) else value
 
 
-def explained(schema: T.StructType, predicates: list[p.Expr], parts: int = 1, complete: bool = True, verbose: bool = False) -> str:
-    """What a scan would do: the pushed filter, which predicates the engine checks again, and the number of parts."""
-    found = [p.translate(e, schema, complete) for e in predicates]
+def explained(schema: T.StructType, predicates: list[p.Expr], plan: ScanPlan, rows: DataFrame | None = None) -> str:
+    """What a scan does: its stages, how many predicates are checked again; with ``rows``, its filter and the plan Spark runs."""
+    found = [p.translate(e, schema, False) for e in predicates]
     again = sum(t is None or not t.exact for t in found)
-    lines = [f"DocumentScan parts={parts} stages=[{'$match' if any(found) else ''}] rechecked={again}"]
-    if verbose:
-        lines.append(json.dumps(p.shown(p.combine(found) or {}), default=plain))
+    lines = [f"DocumentScan stages=[{' '.join(next(iter(s)) for s in plan.stages())}] rechecked={again}"]
+    if rows is not None:
+        lines.append(json.dumps(p.shown(plan.filter or {}), default=plain))
+        lines += rows._jdf.queryExecution().explainString(rows._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).strip().split("\n")
     return "\n".join(lines)

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,33 +78,34 @@ class Registry:
         """The collection's schema and statistics: from the store while fresh, else inferred."""
         name = key(database, collection)
         got = None if refresh else self.store.get_fresh(name, self.settings.max_age)
-        return got or self.store.put(name, self._inferred(database, collection), self.stats(database, collection))
+        return got or self.store.put(name, *self._inferred(database, collection))
 
-    def _inferred(self, database: str, collection: str) -> T.StructType:
-        s = self.settings
-        docs = self.docs(database, collection).select("doc", F.get_json_object("doc", "$._id").alias("_id"))
-        schema = inference.infer(inference.sample(docs, s.sample, s.recent), max_depth=s.depth)
+    def _inferred(self, database: str, collection: str) -> tuple[T.StructType, Stats]:
+        """The schema of a sample, and statistics from the pass that took it."""
+        s, watch = self.settings, Observation()
+        docs = self.docs(database, collection).select("doc", inference.id_key(F.col("doc")).alias("_id"))
+        schema = inference.infer(inference.sample(docs, s.sample, s.recent, watch=watch), max_depth=s.depth)
         wins = s.overrides.get(key(database, collection), {})
         parse = lambda text: T._parse_datatype_string(text)
         fields = [T.StructField(f.name, parse(wins[f.name][0]), wins[f.name][1], f.metadata) if f.name in wins else f for f in schema]
         fields += [T.StructField(n, parse(k), ok, {inference.TAG: "unknown", inference.PATH: n}) for n, (k, ok) in wins.items() if n not in schema.names]
-        return T.StructType(fields)
+        return T.StructType(fields), _stats(watch.get)
 
     def stats(self, database: str, collection: str) -> Stats:
         row = self.docs(database, collection).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("doc")), F.lit(0)).alias("size")).first()
-        return Stats(row["n"], row["size"] // row["n"] if row["n"] else 0, row["size"], ["_id"])
+        return _stats(row.asDict())
 
     def resolve(self, database: str, name: str, wanted: set[str] | None = None) -> DataFrame | None:
         """The table of that name, or None; collections added since the last look are found.
 
-        ``wanted`` limits the columns that are decoded to those of these names (one at least, so that rows can be counted).
+        ``wanted`` limits the columns that are decoded to those of these names.
         """
         if database in self.tables:
             return self.tables[database].get(name)
         if name not in self.collections.get(database, {}):
             return None
         schema = self.record(database, name).schema
-        columns = None if wanted is None else [c for c in schema.names if c in wanted] or schema.names[:1]
+        columns = None if wanted is None else [c for c in schema.names if c in wanted]
         return decode(self.docs(database, name), schema, columns=columns)
 
     def describe(self, refresh: bool = True) -> DataFrame:
@@ -117,6 +118,10 @@ class Registry:
         return self.spark.createDataFrame(rows, "db string, table string, column string, type string, tag string, mixed boolean, rows long")
 
 
+def _stats(seen: dict) -> Stats:
+    return Stats(seen["n"], seen["size"] // seen["n"] if seen["n"] else 0, seen["size"], ["_id"])
+
+
 def split_filters(ids: DataFrame, parts: int, column: str = "_id") -> list:
     """Conditions on ``column`` that cut a table into at most ``parts`` ranges, from a sample of its ids."""
     from quarrel.operators import scan

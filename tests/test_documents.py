@@ -2,17 +2,20 @@
 
 import itertools
 import json
+from collections import Counter
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrel.operators import infer as inference
 from quarrel.operators import predicate as p
 from quarrel.operators import scan
 from quarrel.operators.decode import as_decimal, as_double, as_int, as_millis, batch_of, decode, parse_decimal
 from quarrel.operators.infer import infer, infer_local, is_mixed, join_scalars, path_of, tag_of
 from quarrel.sources import registry as reg
-from quarrel.sources.documents import DocumentSource
+from quarrel.sources.documents import register_source
 from quarrel.sources.store import CatalogStore, Stats
 from quarrel.values import SCALARS, Value, lookup, parse, relaxed_text, render_text
 
@@ -140,7 +143,7 @@ def shown(e, **kw):
         (p.Cmp("=", C("age"), L(5)), ({"age": {"$eq": 5}}, True)),
         (p.Cmp("<", L(5), C("age")), ({"age": {"$gt": 5}}, True)),
         (p.Cmp("<>", C("age"), L(5)), ({"$and": [{"age": {"$ne": 5}}, {"age": {"$ne": None}}]}, True)),
-        (p.Cmp("=", C("score"), L("a")), ({"score": {"$eq": "a"}}, False)),
+        (p.Cmp("=", C("score"), L("a")), ({"$or": [{"score": {"$eq": "a"}}, {"score": {"$not": {"$type": ["null", "string"]}}}]}, False)),
         (p.Cmp("=", C("_id"), L("0123456789ABCDEF01234567")), ({"_id": {"$eq": "0123456789abcdef01234567"}}, True)),
         (p.Cmp("=", C("_id"), L("zz")), None),
         (p.Cmp("=", C("age"), C("name")), None),
@@ -172,7 +175,9 @@ def test_translation(e, want):
 
 
 def test_incomplete_schemas_are_never_exact():
-    assert shown(p.Is(C("name"), None), complete=False) == ({"name": None}, False)
+    assert shown(p.Is(C("name"), None), complete=False) is None  # a value of another type decodes to null as well
+    assert shown(p.Is(C("name"), None, True), complete=False) == ({"name": {"$ne": None}}, False)
+    assert shown(p.Cmp("=", C("name"), L("5")), complete=False) == ({"$or": [{"name": {"$eq": "5"}}, {"name": {"$not": {"$type": ["null", "string"]}}}]}, False)
 
 
 def test_filters_never_lose_rows_and_exact_ones_add_none(spark):
@@ -193,6 +198,50 @@ def test_filters_never_lose_rows_and_exact_ones_add_none(spark):
         assert got == want if t.exact else all(g or not w for g, w in zip(got, want, strict=True)), e
 
 
+ODD = """null 1 -7 2147483648 -9223372036854775808 12345678901234567890 1.0 4.0 2.5 1e3 1e400 0.1 123456.789012345678 true false "x" "7" "2.5" "" "1e5" "1_0" {"$oid":"0123456789ABCDEF01234567"} {"$oid":"zz"}
+{"$date":"2020-01-02T03:04:05.060Z"} {"$date":"2020-13-02T03:04:05Z"} {"$date":"2020-01-02T03:04:05+01:00"} {"$date":{"$numberLong":"5000"}} {"$date":"0001-01-01T00:00:00Z"} {"$date":99999999999999999} {"$numberInt":"5"} {"$numberLong":"99"}
+{"$numberDouble":"NaN"} {"$numberDecimal":"12.3456789012345"} {"$numberDecimal":"-0.1"} {"$numberDecimal":"1E5"} {"$numberDecimal":"1234567890123456789012345678901234567890"} {"$timestamp":{"t":5,"i":1}} {"$binary":{"base64":"Zm9v","subType":"00"}}
+{"$binary":{"base64":"Zm9","subType":"00"}} {"$undefined":true} {"$code":"x"} {} {"a":1} {"a":"y","b":2} {"b":1.50,"a":null} {"a":{"$oid":"0123456789ABCDEF01234567"}} {"b":{"z":1,"a":[true,null]},"a":"\\u00e9\\n"} [] [1,2] ["x",1] [null] [true,"x",{"a":1}]
+[[1],[2]] [{"a":1},{"b":2}] [1.5] [{"$undefined":true}] -0 -0.0 NaN Infinity "\\u00e9\\n" [{"$numberLong":"5"}]""".split()
+KINDS = "boolean/bool int/int32 bigint/int64 double/double string/string string/json string/objectId binary/binary timestamp/date decimal(38,10)/decimal decimal(5,0)/decimal array<string>/array:string array<int>/array:int32 array<array<int>>/array struct<a:int,b:double>/document struct<a:string>/document array<struct<a:int,b:int>>/array".split()
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_expressions_decode_as_python_does(spark, kind):
+    name, tag = kind.split("/")
+    docs = [None, "", "  ", "{bad", "[1]", "5", '{"v":1,"v":2}', '{"w":1}', "{}", *(f'{{"v":{x}}}' for x in ODD)]
+    schema = T.StructType([T.StructField("v", T._parse_datatype_string(name), True, {"path": "v", "tag": tag})])
+    got = decode(spark.createDataFrame([(d,) for d in docs], "doc string").coalesce(1), schema).toArrow().column("v").to_pylist()
+    want = batch_of(schema, [parse(d) for d in docs]).column(0).to_pylist()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_shapes_tell_types_apart(spark):
+    texts = [f'{{"k1":{x}, "a,5,b":[{y}]}}' for x in ODD for y in ('1', '"x"', "2.5")]
+    rows = spark.createDataFrame([(t,) for t in texts], "doc string").select("doc", inference.shape(F.col("doc")).alias("s")).collect()
+    seen = {}
+    for r in rows:
+        counts = Counter()
+        inference.observe(parse(r["doc"]), counts)
+        assert seen.setdefault(r["s"], counts) == counts, r["doc"]
+    assert len(seen) < len(rows)
+
+
+def test_newest_by_number(spark):
+    texts = [f'{{"_id":{k}}}' for k in range(1, 1201)] + ['{"_id":{"$numberLong":"5000"}}', '{"_id":"z"}', "{}"]
+    docs = spark.createDataFrame([(t,) for t in texts], "doc string").select("doc", inference.id_key(F.col("doc")).alias("_id"))
+    assert [r[0] for r in inference.sample(docs, 4, 1.0).select("doc").collect()] == ['{"_id":"z"}', '{"_id":{"$numberLong":"5000"}}', '{"_id":1200}', '{"_id":1199}']
+
+
+def test_scan_plans_run(spark):
+    docs = spark.createDataFrame([(f'{{"_id":{k},"n":{k % 5},"s":"v{k % 3}","o":{{"x":{k}}}}}',) for k in range(100)] + [('{"_id":200}',)], "doc string")
+    schema = infer_local([r[0] for r in docs.collect()])
+    got = scan.ScanPlan({"$or": [{"n": {"$gte": 3}}, {"n": None}]}, {"_id": {"$gte": 50}}, ["_id", "o.x"], [("_id", False)], 1, 3).run(docs, schema).collect()
+    assert [tuple(r) for r in got] == [(99, 99), (98, 98), (94, 94)]
+    assert scan.ScanPlan({"s": {"$in": ["v1"]}, "n": {"$not": {"$eq": 1}}}).run(docs, schema).count() == sum(k % 3 == 1 and k % 5 != 1 for k in range(100))
+    assert scan.ScanPlan({"n": {"$ne": 1}}).run(docs, schema).count() == 81 and scan.ScanPlan({"s": {"$regex": "^v[12]$"}}, limit=0).run(docs, schema).count() == 0
+
+
 def test_scan_plans():
     plan = scan.ScanPlan({"age": {"$gt": 18}}, {"_id": {"$lt": 9}}, ["name"], [("age", False)], 10, 5)
     assert plan.stages() == [{"$match": {"$and": [{"age": {"$gt": 18}}, {"_id": {"$lt": 9}}]}}, {"$sort": {"age": -1}}, {"$skip": 10}, {"$limit": 5}, {"$project": {"name": 1, "_id": 0}}]
@@ -245,7 +294,8 @@ def test_document_source(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     for k in range(3):
         (tmp_path / "docs" / f"{k}.json").write_text("\n".join(json.dumps(d) for d in docs[k::3]) + ("\n" if k else ""))
-    spark.dataSource.register(DocumentSource)
+    register_source(spark)
+    register_source(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     schema = infer_local([json.dumps(d) for d in docs])
     want = {"n > 100": 0, "n NOT IN (1, 2)": 0, "n IS NULL": 0, "s LIKE 'v1%'": 0, "s = 'v2' AND _id < 50": 0, "NOT (n = 4)": 0}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrel.functions import aliases
 from quarrel.plans import compat, render, sqltext
-from quarrel.plans.service import Engine, QueryError, QueryTimeout, named_columns, sqlstate
+from quarrel.plans.service import Engine, QueryError, QueryTimeout, sqlstate
 from quarrel.sources.registry import Registry
 
 
@@ -70,13 +70,27 @@ def test_queries_over_collections(engine):
     assert [isinstance(x, compat.Tag) for x in engine.run("BEGIN; SELECT 1; COMMIT")] == [True, False, True]
 
 
-def test_only_named_columns_are_decoded(engine):
-    names = lambda sql: named_columns(sqltext.tokens(sql))
-    assert names("SELECT * FROM t") is None and names("SELECT t.* FROM t") is None and names("SELECT a, * FROM t") is None and names("SELECT 1 FROM a NATURAL JOIN b") is None
-    assert {"a", "b c"} <= names('SELECT count(*), a * 2 FROM t WHERE "b c" > 1 ORDER BY a DESC')
-    assert "type" not in engine.sql("SELECT _id FROM mailbox.profile")._jdf.queryExecution().analyzed().toString()
+def test_only_the_columns_a_plan_reads_are_decoded(engine):
+    plan = lambda sql: engine.sql(sql)._jdf.queryExecution().analyzed().toString()
+    assert '["type"]' not in plan("SELECT _id FROM mailbox.profile") and '["type"]' in plan("SELECT * FROM mailbox.profile")
+    assert '["type"]' not in plan("SELECT a._id FROM mailbox.profile a JOIN mailbox.profile b ON a._id = b._id WHERE a.name IN (SELECT name FROM mailbox.profile)")
+    assert '["' not in plan("SELECT count(*) FROM mailbox.profile")
+    assert '["type"]' not in plan("SELECT _id FROM (SELECT _id, \"type\" FROM mailbox.profile)")
     assert engine.sql("SELECT count(*) AS n FROM mailbox.profile").first()["n"] == 2
     assert engine.sql("SELECT * FROM mailbox.profile").columns == ["_id", "name", "type"]
+    assert "type" in engine.sql("EXPLAIN SELECT * FROM mailbox.profile").first()[0]
+
+
+@pytest.mark.parametrize("text", ["WITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{0}' USING parquet SELECT * FROM a", "FROM (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{0}' USING parquet SELECT x", "EXPLAIN INSERT INTO t VALUES (1)", "SELECT \"reflect\"('java.lang.System', 'nanoTime')", "BEGIN SELECT 1; END"])
+def test_no_statement_writes(engine, tmp_path, text):
+    for way in (engine.sql, engine.query):
+        try:
+            way(text.format(tmp_path / "out"))
+        except Exception as e:
+            assert sqlstate(e) in ("25006", "42601")
+        else:
+            assert text.startswith("BEGIN")  # acknowledged, and not run
+    assert not (tmp_path / "out").exists()
 
 
 def test_query_api(engine):
