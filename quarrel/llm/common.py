@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -23,14 +24,27 @@ _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; where none is configured (tests), below a folder of our own."""
+    """A new folder below the cluster's checkpoint folder. A local master, where all share one disk, may go without and gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = jvm_dir.get() if jvm_dir.isDefined() else "file:///tmp/quarrel-checkpoints"
+        context = spark.sparkContext
+        jvm_dir = context._jsc.sc().getCheckpointDir()
+        if jvm_dir.isDefined():
+            root = jvm_dir.get()
+        elif context.master.startswith("local"):
+            root = f"file://{tempfile.gettempdir()}/quarrel-checkpoints"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/quarrel-{uuid.uuid4().hex}"
 
 
+def vocabulary(name: str) -> str:
+    """The place of a tokenizer's file: a path as it is, else a file of the public tokenizers by its name."""
+    import public_tokenizers
+
+    return name if "/" in name else public_tokenizers.path(name)
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
