@@ -18,6 +18,7 @@ from re import _parser as rp
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrel.llm.common import BROADCAST_BYTES, doc_batches, read_table, stored
 
@@ -195,24 +196,31 @@ def _postings(trigrams: list[str]):
 
 
 def build_index(docs: DataFrame, trigrams: list[str], block: int = BLOCK) -> DataFrame:
-    """The inverted index (trigram, block, ids) of ``docs`` (doc_id, text); ids of one block are a bounded sorted list, so a trigram of a third of all rows is spread over its blocks."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.where("doc_id IS NOT NULL").mapInArrow(_postings(trigrams), f"trigram string, doc_id {kind}")
-    return found.groupBy("trigram", F.floor(F.col("doc_id") / block).alias("block")).agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
+    """The inverted index (trigram, block, ids) of ``docs`` (doc_id, text); ids of one block are a bounded sorted list, so a trigram of a third of all rows is spread over its blocks.
+
+    Whole numbers are in blocks of neighbours, other ids in as many blocks by their hash.
+    """
+    kind = docs.schema["doc_id"].dataType
+    found = docs.where("doc_id IS NOT NULL").mapInArrow(_postings(trigrams), f"trigram string, doc_id {kind.simpleString()}")
+    if isinstance(kind, T.IntegralType):
+        place = F.expr(f"doc_id div {block}")
+    else:
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // block)))
+    return found.groupBy("trigram", place.alias("block")).agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     """(doc_id, rules): for each document the rules whose query it satisfies. Postings of one block meet in one row and are intersected there."""
     names = sorted({g for q in queries.values() for clause in q for g in clause})
     wide = index.groupBy("block").agg(*(F.first(F.when(F.col("trigram") == g, F.col("ids")), ignorenulls=True).alias(f"g{k}") for k, g in enumerate(names)))
-    empty = "cast(array() as array<bigint>)"
+    empty = f"cast(array() as {index.schema['ids'].dataType.simpleString()})"
     parts = []
     for kind, query in queries.items():
         union = empty
         for clause in query:
             hit = None
             for g in sorted(clause):
-                col = f"coalesce(cast(g{names.index(g)} as array<bigint>), {empty})"
+                col = f"coalesce(g{names.index(g)}, {empty})"
                 hit = col if hit is None else f"array_intersect({hit}, {col})"
             union = f"array_union({union}, {hit})"
         parts.append(wide.select(F.lit(kind).alias("rule"), F.explode(F.expr(union)).alias("doc_id")))
@@ -242,7 +250,7 @@ def _scan(rules: tuple[Rule, ...], always: frozenset, carry: tuple[str, ...]):
 def find_secrets(docs: DataFrame, id_col="doc_id", text_col="text", rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per input row ``doc_id, spans, text`` and the columns ``carry``: spans (kind, start, end) in code points, end exclusive, by start and then rule order.
 
-    Null text has no spans. Rows with a null id are searched with every rule, as the index can't name them; rows that share
+    Ids may be of any type. Null text has no spans. Rows with a null id are searched with every rule, as the index can't name them; rows that share
     an id are candidates together and searched each. Empty tables give no rows; other columns are not read.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry)
@@ -278,7 +286,8 @@ def _digests(base: tuple[str, ...]):
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(read_table(spark, sf_dir, "documents")).select("doc_id", "spans")
-    return found.mapInArrow(_digests(tuple(r.kind for r in BASE)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(_digests(tuple(r.kind for r in BASE)), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def _oracle(rules: tuple[Rule, ...]) -> str:
