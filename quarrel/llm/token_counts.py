@@ -2,8 +2,10 @@
 
 A batch is a set of signed rows: an insert adds a document and its tokens, a delete takes them away, a revised count is
 both. Only a batch's sums meet the totals, so keeping them up costs what changed. A commit writes the new totals to a
-folder of its own and then one small log entry, created only if it isn't there: a batch that is applied again, or by a
-second writer, changes nothing, and what a lost writer leaves behind is never read.
+folder of its own, then a small log entry under a name of its own, and then gives that entry its number, which fails if the
+number is taken: an entry is seen whole or not at all. A batch that is applied again, or by a second writer, changes
+nothing; a writer that loses the race for a number starts again from the totals of the winner; and what a lost writer
+leaves behind is never read.
 """
 
 from __future__ import annotations
@@ -12,19 +14,20 @@ import base64
 import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrel.llm.common import doc_batches, read_table, shared_dir, stored
+from quarrel.llm.common import doc_batches, read_table, shared_dir, stored, vocabulary
 
 KEYS = ("source", "lang", "version")
 SUMS = ("docs", "tokens")
 #: Tokenizer versions by name: vocabulary files of byte-level BPE ranks and the pattern they are used with.
-TOKENIZERS = {"bpe50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "bpe50k-multi": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
+TOKENIZERS = {"bpe50k": "byte_bpe_50k.tiktoken", "bpe50k-multi": "byte_bpe_multi_50k.tiktoken"}
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -32,7 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def tokenizer(path: str):
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(vocabulary(path), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -74,6 +77,7 @@ class Rollup:
 
     spark: SparkSession
     path: str
+    read: dict[str, dict] = field(default_factory=dict, repr=False)
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -86,14 +90,15 @@ class Rollup:
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
         if not fs.exists(at):
             return []
-        out = []
-        for name in sorted(s.getPath().getName() for s in fs.listStatus(at)):
-            stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{name}"))
-            try:
-                out.append(json.loads(stream.readUTF()))
-            finally:
-                stream.close()
-        return out
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at))
+        for name in names:
+            if name not in self.read:  # entries never change
+                stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{name}"))
+                try:
+                    self.read[name] = json.loads(stream.readUTF())
+                finally:
+                    stream.close()
+        return [self.read[n] for n in names]
 
     def totals(self) -> DataFrame:
         log = self.log()
@@ -103,19 +108,39 @@ class Rollup:
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Apply a batch of signed rows once. False if it was committed before; then ``rows`` is not even read."""
-        log = self.log()
-        if any(x["batch"] == batch for x in log):
-            return False
-        delta = rows.groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS))
-        after = self.totals().select(*KEYS, *SUMS).unionAll(delta).groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS))
-        name = f"totals/{len(log):08d}-{uuid.uuid4().hex}"
-        after.where(" OR ".join(f"{s} <> 0" for s in SUMS)).coalesce(1).write.parquet(f"{self.path}/{name}")
+        delta = None
+        while True:
+            log = self.log()
+            if any(x["batch"] == batch for x in log):
+                return False
+            if delta is None:
+                delta = rows.groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS))
+            after = self.totals().select(*KEYS, *SUMS).unionAll(delta).groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS))
+            name = f"totals/{len(log):08d}-{uuid.uuid4().hex}"
+            after.where(" OR ".join(f"{s} <> 0" for s in SUMS)).coalesce(1).write.parquet(f"{self.path}/{name}")
+            if self._publish(len(log), {"batch": batch, "totals": name}):
+                return True
+
+    def _publish(self, number: int, entry: dict) -> bool:
+        """Write an entry aside and give it its number; False if another writer has that number."""
         jvm, fs = self._fs()
-        stream = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{len(log):08d}.json"), False)  # fails if another writer was first
+        path = jvm.org.apache.hadoop.fs.Path
+        aside = path(f"{self.path}/aside/{uuid.uuid4().hex}.json")
+        stream = fs.create(aside, False)
         try:
-            stream.writeUTF(json.dumps({"batch": batch, "totals": name}))
+            stream.writeUTF(json.dumps(entry))
         finally:
             stream.close()
+        fs.mkdirs(path(f"{self.path}/log"))
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        keep = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            files.rename(aside, path(f"{self.path}/log/{number:08d}.json"), keep)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            fs.delete(aside, False)
+            return False
         return True
 
 
