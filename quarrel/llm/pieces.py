@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrel.llm.common import doc_batches, read_table, trim
+from quarrel.llm.common import doc_batches, read_table, trim, vocabulary
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The model in use, by its name among the public tokenizers.
+MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose ids a worker keeps between batches, and pairs of pieces; beyond it a table starts anew. More words are less work and more memory (about 230 bytes each).
 KEPT_WORDS = 700_000
@@ -70,6 +71,7 @@ class Pieces:
         return cls._loaded[path]
 
     def __init__(self, path: str):
+        path = vocabulary(path)
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
