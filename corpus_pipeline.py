@@ -28,16 +28,27 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.classify(docs, read_table(spark, sf_dir, "labels")).where("keep").select(*COLUMNS)
 
 
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """One row of each id, the least one by text, language, source and size; rows without an id stay. Only ids that repeat are aggregated."""
+    more = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    rest = F.struct("text", "lang", "source", "n_chars")
+    least = docs.join(more, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("r")).select("doc_id", "r.*")
+    return docs.join(more, "doc_id", "left_anti").unionByName(least)
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, and one row of it; documents without an id are kept."""
-    found = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return _own(docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")).dropDuplicates(["doc_id"]).unionAll(_own(docs.where("doc_id IS NULL")))
+    """The document with the smallest id of each near-duplicate group: shingles of five words, a similarity of 80 % or more.
+
+    Rows that share an id are one document, of which the least row stands for all; documents without an id are kept.
+    """
+    docs = stored(_one_row_each(_own(docs)), "one_row_each")
+    found = minhash.near_duplicates(docs, size=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id")
+    return _own(docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")).unionAll(_own(docs.where("doc_id IS NULL")))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.decontaminated(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return _own(docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti"))
+    """Documents in whose text no window of a benchmark item occurs; each row is judged by its own text."""
+    return _own(decontaminate.clean(_own(docs), read_table(spark, sf_dir, "benchmark")))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
