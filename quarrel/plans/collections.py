@@ -212,7 +212,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarrel-checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or f"file://{tempfile.gettempdir()}/quarrel-checkpoints"
     return f"{root.rstrip('/')}/quarrel-{uuid.uuid4().hex}"
 
 
