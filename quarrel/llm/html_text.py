@@ -32,9 +32,11 @@ DIM = 1 << 13
 #: Weight of a text block's own features against those of elements.
 LEAF = 0.4
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that end the block of text they stand in; all others, known or not, are part of a line.
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript svg math object iframe canvas audio video head select textarea title option datalist".split())
+#: Elements whose text is not the page's: code, pictures and players, fields of forms.
+SILENT = frozenset("script style template svg iframe canvas audio video head select textarea title option datalist".split())
 RAW = frozenset("script style textarea title iframe xmp noembed".split())
 #: An open element of the value's tags ends where the key starts (up to the nearest of the scope tags).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -67,12 +69,27 @@ class Tree:
         return len(self.parent) - 1
 
 
+def _names(tag: str, attributes: str) -> tuple[str, ...]:
+    """A block's tag, the words of its class, id and role, and a mark if it is hidden."""
+    words, hidden = [tag], False
+    for a in _ATTR.finditer(attributes) if attributes else ():
+        key, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
+        if key == "style":
+            hidden |= "display:none" in value.replace(" ", "").lower()
+        elif key == "hidden":
+            hidden = True
+        else:
+            words += _NAME.findall(_CAMEL.sub("-", value).lower())
+    return (*words, "*hidden") if hidden else tuple(words)
+
+
 def parse(page: str | None) -> Tree:
     """The block tree of a page. Unclosed, misnested and unknown tags are taken as browsers would, near enough; nothing raises."""
     page = page or ""
     tree = Tree()
     root = tree.add(-1, "root", ())
-    stack: list[tuple[str, int]] = [("root", root)]  # (tag, node); inline elements share their block's node
+    # (tag, node, attributes): inline elements share their block's node and keep their attributes, till a block opens in them.
+    stack: list[tuple[str, int, str | None]] = [("root", root, None)]
     parts: list[str] = []
     linked = anchors = silent = 0
 
@@ -90,10 +107,20 @@ def parse(page: str | None) -> Tree:
     def close(to: int) -> None:
         nonlocal anchors, silent
         while len(stack) > to:
-            tag, _ = stack.pop()
+            tag, _, _ = stack.pop()
             anchors -= tag == "a"
             silent -= tag in SILENT
 
+    def opened() -> None:
+        """Inline elements around a block that opens are blocks with names of their own from here on."""
+        for k in range(1, len(stack)):
+            tag, _, attributes = stack[k]
+            if attributes is not None:
+                node = tree.add(stack[k - 1][1], tag, _names(tag, attributes)) if attributes.strip() or "-" in tag else stack[k - 1][1]
+                stack[k] = (tag, node, None)
+            elif stack[k][1] < stack[k - 1][1]:
+                stack[k] = (tag, stack[k - 1][1], None)
+
     at = 0
     while at < len(page):
         # Anew behind each raw element: a token that starts inside it may reach beyond its end.
@@ -110,24 +137,35 @@ def parse(page: str | None) -> Tree:
             if m.group(1):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
-                        if tag not in INLINE:
+                        if stack[k][1] != stack[k - 1][1]:
                             flush()
                         close(k)
                         break
-                    if tag in INLINE and stack[k][0] not in INLINE:
+                    if tag not in BLOCK and stack[k][0] in BLOCK:
                         break
                 continue
             if tag == "br":
                 parts.append(" ")
                 continue
-            if tag in INLINE:
-                if tag not in VOID and not m.group(3).endswith("/"):
+            if tag not in BLOCK:
+                if tag not in VOID and not (m.group(3).endswith("/") and tag not in RAW):
                     if tag == "a" and anchors:  # anchors don't nest
                         k = max(i for i, x in enumerate(stack) if x[0] == "a")
-                        if all(x[0] in INLINE for x in stack[k:]):
+                        if all(x[0] not in BLOCK for x in stack[k:]):
                             close(k)
-                    stack.append((tag, stack[-1][1]))
+                    stack.append((tag, stack[-1][1], m.group(3)))
                     anchors += tag == "a"
+                    silent += tag in SILENT
+                    if tag in RAW:
+                        end = re.compile(rf"</{tag}\b", re.I).search(page, m.end())
+                        at = end.start() if end else len(page)
+                        if not end:
+                            close(len(stack) - 1)
+                        break
+                continue
+            if silent and any(x[0] in SILENT and x[0] not in BLOCK for x in stack):
+                stack.append((tag, stack[-1][1], None))  # what a picture or a template holds makes no blocks
+                silent += tag in SILENT
                 continue
             flush()
             if tag in BLOCK_ENDS_P or tag in ENDS:
@@ -141,20 +179,9 @@ def parse(page: str | None) -> Tree:
                         break
             if tag in VOID:
                 continue
-            words, hidden = [tag], False
-            if m.group(3):
-                for a in _ATTR.finditer(m.group(3)):
-                    key, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
-                    if key == "style":
-                        hidden |= "display:none" in value.replace(" ", "").lower()
-                    elif key == "hidden":
-                        hidden = True
-                    else:
-                        words += _NAME.findall(_CAMEL.sub("-", value).lower())
-            if hidden:
-                words.append("*hidden")
-            node = tree.add(stack[-1][1], tag, tuple(words))
-            stack.append((tag, node))
+            opened()
+            node = tree.add(stack[-1][1], tag, _names(tag, m.group(3)))
+            stack.append((tag, node, None))
             silent += tag in SILENT
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b", re.I).search(page, m.end())
@@ -201,7 +228,7 @@ def features(tree: Tree) -> list[list[int]]:
         for _ in range(4):  # the names of the elements around it
             if up <= 0:
                 break
-            own += [_slot("u:" + w) for w in tree.names[up][:4]]
+            own += [_slot("u:" + w) for w in dict.fromkeys(tree.names[up])]
             up = tree.parent[up]
         out.append(own)
     return out

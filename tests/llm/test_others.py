@@ -364,3 +364,39 @@ def test_near_duplicate_stage_takes_five_words_and_eighty_percent(spark):
                     least[a], changed = least[b], True
     got = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, SF).collect())
     assert got == sorted(i for i in least if least[i] == i) and 2 not in got and 3 in got
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<p>Euler: <math><mi>e</mi><mo>=</mo><mn>0</mn></math> holds, always.</p>", ["Euler: e=0 holds, always."]),
+        ("<p>one <noscript>two</noscript> <object>three</object> four</p>", ["one two three four"]),
+        ("<p>a <svg><g><title>t</title><text>no</text></g></svg><script>if (a<b) { x('</p>') }</script>b <button>c</button> <my-tag class=x>d</my-tag> e</p>", ["a b c d e"]),
+        ("<p>x <span>y</span><style>p {}</style><custom>z</custom>.<p>next", ["x yz.", "next"]),
+        ("<my-box class=menu><div>in</div></my-box>out", ["in", "out"]),
+        ("<a href=x><div>one</div><p>two</p></a> three <b>four", ["one", "two", "three four"]),
+        ("t <script>never closed <p>x</p>", ["t"]),
+        ("<span hidden><p>x</p></span>y<br>z &amp; &eacute;&#x20AC;", ["x", "y z & é€"]),
+        ("<p>" + "long text, " * 20_000 + "</p>", [("long text, " * 20_000).strip()]),
+    ],
+)
+def test_parts_of_a_line_do_not_split_it(inner, want):
+    tree = html_text.parse(f"<body>{inner}</body>")
+    assert [t for t in tree.text if t is not None] == want
+    if "my-box" in inner:
+        assert ("my-box", "menu") in tree.names
+    assert all(p < k for k, p in enumerate(tree.parent))
+
+
+def test_held_out_layouts_block_for_block():
+    """Layouts of another seed, in a page with words the training pages don't have: recall and precision of blocks."""
+    model = html_text.train([])
+    wanted = found = both = whole = 0
+    pages = html_text.layouts(200, seed=99)
+    for page in pages:
+        tree = html_text.parse(page)
+        want = [t for t in tree.text if t and t.startswith("Text")]
+        got = html_text.main_text(model, page)
+        wanted, found, both, whole = wanted + len(want), found + len(got), both + len([t for t in got if t in want]), whole + (got == want)
+    print(f"blocks: recall {both / wanted:.4f}, precision {both / found:.4f}; whole pages {whole} of {len(pages)}")
+    assert both / wanted > 0.97 and both / found > 0.97
