@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,39 @@ def test_redaction():
     spans = [{"kind": "a", "start": 2, "end": 5}, {"kind": "b", "start": 4, "end": 7}, {"kind": "c", "start": 9, "end": 10}]
     assert secrets.redacted("0123456789x", spans) == "01[a]78[c]x"
     assert secrets.redacted(None, []) is None
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_deep_nodes_against_brute_force(seed):
+    g = random.Random(seed)
+    base = [g.getrandbits(60) if seed % 2 else g.randint(1, 2) for _ in range(60)]
+    strings, group = [], []
+    for _ in range(g.randint(1, 12)):
+        a = g.randint(0, 30)
+        x = (base[a : a + g.randint(20, 60)] + [1] * 20)[: g.randint(20, 50)]
+        if g.random() < 0.5:
+            x[g.randrange(len(x))] = g.randint(5, 9)
+        strings.append(np.array(x, np.uint64))
+        group.append(g.randint(0, 2))
+    group, place, start = np.array(group), np.array([g.randint(0, 4) for _ in strings]), np.arange(len(strings)) * 100
+    owner, offset, node, shared = repeats.deep_nodes(group, strings)
+    for k in range(1, len(owner)):  # the words shared by neighbours, and one node for those that share enough
+        x, y = (strings[owner[j]][offset[j] :].tolist() for j in (k, k - 1))
+        same = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y))) if group[owner[k]] == group[owner[k - 1]] else 0
+        assert shared[k] == same and (node[k] == node[k - 1]) == (same >= repeats.DEPTH)
+    seen = {}
+    for o, x in enumerate(strings):
+        for i in range(len(x) - repeats.DEPTH + 1):
+            seen.setdefault((group[o], tuple(x[i : i + repeats.DEPTH].tolist())), []).append((place[o], start[o] + i, o, i))
+    want = {(o, i + j) for v in seen.values() for _, _, o, i in sorted(v)[1:] for j in range(repeats.DEPTH)}
+    assert {(int(o), int(a) + i) for o, a, n in zip(*repeats.repeats_of(group, strings, place, start), strict=True) for i in range(int(n))} == want
+
+
+@pytest.mark.parametrize("group", [1, 4096])
+def test_repeats_of_rows_that_share_an_id(spark, monkeypatch, group):
+    """Whether groups are put in trees or split by whole windows."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    words = [f"w{k}" for k in range(600)]
+    rows = [(1, " ".join(words[:30])), (2, "x x x " + " ".join(words[:30])), (2, " ".join(words[500:530])), (3, "y " + " ".join(words[5:40])), (4, " ".join(words[10:31]) + " z"), (4, " ".join(words[10:31]) + " z")]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in repeats.without_repeats(frame(spark, rows)).collect())
+    assert got == [(1, 30, 0), (2, 30, 0), (2, 33, 30), (3, 36, 25), (4, 22, 21), (4, 22, 21)]
