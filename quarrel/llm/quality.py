@@ -226,18 +226,22 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> dict[str, Head]:  # noqa: B008
     """The heads, from at most ``limits.labelled`` labelled rows and ``limits.pool`` others, whose slots go to the driver.
 
-    Both are the first in the order of a hash of the id; chosen texts of over ``limits.chars`` characters are left out. Labels of one document are averaged; null labels don't count.
+    Both are the first in the order of a hash of the id, among documents of at most ``limits.chars`` characters. Labels of one
+    document are averaged; null labels don't count. Of rows that share an id the least one by its values is taken.
     """
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.avg(h).alias(h) for h in HEADS))
     mark = F.xxhash64("doc_id")
-    few = known.orderBy(mark, "doc_id").limit(limits.labelled)
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= limits.chars)
+    ids = short.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    few = known.join(ids, "doc_id", "left_semi").orderBy(mark, "doc_id").limit(limits.labelled)
     pool = ids.join(known, "doc_id", "left_anti").orderBy(mark, "doc_id").limit(limits.pool)
     chosen = few.unionByName(pool, allowMissingColumns=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, source string, lang string, n_chars long, {', '.join(f'{h} double' for h in HEADS)}, slots binary"
-    first = docs.select("doc_id", "source", "lang", F.col("n_chars").cast("long"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= limits.chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "source", "lang", "n_chars", *HEADS, "text")
-    rows = first.mapInArrow(_packed, schema).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().to_pylist()
+    first = short.select("doc_id", "source", "lang", F.col("n_chars").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "source", "lang", "n_chars", *HEADS, "text")
+    packed = first.mapInArrow(_packed, schema)
+    least = packed.groupBy("doc_id").agg(F.min(F.struct(*(c for c in packed.columns if c != "doc_id"))).alias("r"))
+    rows = least.select("doc_id", "r.*").orderBy("doc_id").toArrow().to_pylist()
     labelled = [r for r in rows if r["quality"] is not None or r["toxic"] is not None]
     others = [r for r in rows if r["quality"] is None and r["toxic"] is None]
 
