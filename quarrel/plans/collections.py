@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import re
 import tempfile
-import uuid
 from functools import reduce
 
 import pyarrow as pa
@@ -22,7 +21,7 @@ from quarrel.operators.decode import decode
 from quarrel.operators.infer import id_key, infer, is_mixed, sample, tag_of
 from quarrel.plans import compat, render
 from quarrel.plans.service import Engine, sqlstate
-from quarrel.session import scoped
+from quarrel.session import scoped, shared_folder
 from quarrel.sources import registry as reg
 from quarrel.sources.documents import load
 from quarrel.sources.store import CatalogStore
@@ -171,7 +170,7 @@ _CONDITIONS = {"status": "status = 'F'", "range": "orderNo BETWEEN 10 AND 500 AN
 def pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements over a collection of files: counts, and whether the plan has the filter at the file scan and reads no other field."""
     e = engine(spark, sf_dir)
-    path = f"{_folder(e.spark)}/docs"
+    path = f"{shared_folder(e.spark)}/docs"
     collection(e.spark, sf_dir).select("doc").write.text(path)
     e.registry.add("files", "orders", lambda: e.spark.read.text(path).toDF("doc"))
     out = []
@@ -201,7 +200,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = f"""CASE WHEN {k} % 5 = 0 THEN '"yes"' WHEN {k} % 5 = 1 THEN 'false' ELSE 'true' END"""
     s = f"""CASE WHEN {k} % 3 = 1 THEN '5' ELSE '"5x"' END"""
     doc = f"""concat('{{"_id":', {k}, ',"x":', {x}, ',"y":', 9007199254740991 + {k} % 4, ',"t":', {t}, ',"d":{{"$numberDecimal":"', {d}, '"}},"b":', {b}, ',"s":', {s}, '}}')"""
-    path = f"{_folder(e.spark)}/edges"
+    path = f"{shared_folder(e.spark)}/edges"
     e.spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(f"{doc} AS doc").write.text(path)
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(kind), True, {"path": n, "tag": tag}) for n, kind, tag in (("x", "double", "double"), ("y", "double", "double"), ("t", "timestamp", "date"), ("d", "decimal(38,10)", "decimal"), ("b", "boolean", "bool"), ("s", "string", "string"))])
     out = []
@@ -211,14 +210,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, out)
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = root or f"file://{tempfile.gettempdir()}/quarrel-checkpoints"
-    return f"{root.rstrip('/')}/quarrel-{uuid.uuid4().hex}"
-
-
 def id_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each range of a scan split eight ways: every row is in one range."""
     ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("_id"))
@@ -368,7 +359,7 @@ def found_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements that would write, however they begin, by both ways in: all refused, and nothing written."""
     e = engine(spark, sf_dir)
-    path = f"{_folder(e.spark)}/refused"
+    path = f"{shared_folder(e.spark)}/refused"
     texts = {
         "with": f"WITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{path}' USING parquet SELECT * FROM a",
         "from": f"FROM (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{path}' USING parquet SELECT x",

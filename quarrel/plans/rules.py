@@ -13,9 +13,9 @@ from quarrel.operators import scan
 from quarrel.operators.decode import as_decimal, as_double, as_int, as_millis
 from quarrel.operators.infer import infer_local, is_mixed, join_scalars, tag_of
 from quarrel.plans import compat, render
-from quarrel.plans.collections import _folder, _rows, engine
+from quarrel.plans.collections import _rows, engine
 from quarrel.plans.service import sqlstate
-from quarrel.session import scoped
+from quarrel.session import scoped, shared_folder
 from quarrel.sources import registry as reg
 from quarrel.sources import sinks
 from quarrel.sources.store import CatalogStore, Stats
@@ -118,7 +118,7 @@ def sink_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = own.read.parquet(f"{sf_dir}/nation.parquet")
     parts = []
     for kind in sinks.FORMATS:
-        path = f"{_folder(own)}/{kind}"
+        path = f"{shared_folder(own)}/{kind}"
         sinks.write(df, path, kind)
         parts.append(sinks.read(own, path, kind, df.schema).selectExpr(f"'{kind}' AS format", "n_nationkey", "n_name", "n_regionkey"))
     return reduce(DataFrame.unionAll, parts)

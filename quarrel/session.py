@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Identifiers keep their case and may be double-quoted; times are UTC; plans are adapted at run time.
@@ -29,3 +32,11 @@ def scoped(spark: SparkSession) -> SparkSession:
         if k != "spark.sql.sources.useV1SourceList":
             own.conf.set(k, v)
     return own
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: below the checkpoint folder; a local master may go without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or f'file://{tempfile.gettempdir()}/quarrel-checkpoints').rstrip('/')}/quarrel-{uuid.uuid4().hex}"
