@@ -71,6 +71,42 @@ def _slice(args: list[str]) -> str:
     return f"slice({a}, greatest({at(lo)}, 1), greatest(least({at(hi)}, size({a})) - greatest({at(lo)}, 1) + 1, 0))"
 
 
+def _places(a: str, x: str, n: str) -> str:
+    """Indexes of the first ``n`` elements that equal ``x``; null equals null."""
+    return f"slice(filter(transform({a}, (v, i) -> if(v <=> {x}, i, null)), v -> v IS NOT NULL), 1, greatest({n}, 0))"
+
+
+def _remove(args: list[str]) -> str:
+    a, x, n = (*args, "1")[:3]
+    return f"filter({a}, (v, i) -> NOT array_contains({_places(a, x, n)}, i))"
+
+
+def _replace(args: list[str]) -> str:
+    a, x, y, n = (*args, "1")[:4]
+    return f"transform({a}, (v, i) -> if(array_contains({_places(a, x, n)}, i), {y}, v))"
+
+
+#: Arrow's type names in Spark's terms; unsigned integers take the next wider type.
+_ARROW = {
+    "boolean": "boolean", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int", "uint32": "bigint",
+    "uint64": "decimal(20, 0)", "float32": "float", "float64": "double", "utf8": "string", "largeutf8": "string", "utf8view": "string", "binary": "binary", "date32": "date",
+}
+
+
+def _arrow_cast(args: list[str]) -> str:
+    """``arrow_cast(x, 'Type')``; times with a zone are instants, times without one are local."""
+    name = args[1].strip("'").replace(" ", "").lower()
+    if name.startswith("decimal128("):
+        kind = name.replace("128", "")
+    elif name.startswith("timestamp("):
+        kind = "timestamp_ntz" if name.endswith(",none)") else "timestamp"
+    elif name in _ARROW:
+        kind = _ARROW[name]
+    else:
+        raise ValueError(f"arrow_cast: unknown type {args[1]}")
+    return f"cast({args[0]} AS {kind})"
+
+
 #: Engine names to Spark names, or to expressions of their arguments.
 FUNCTIONS = {
     # conditional and math
@@ -101,6 +137,7 @@ FUNCTIONS = {
     "to_timestamp_seconds": "timestamp_seconds",
     "to_timestamp_millis": "timestamp_millis",
     "to_timestamp_micros": "timestamp_micros",
+    "to_timestamp_nanos": lambda a: f"timestamp_micros(({a[0]} - pmod({a[0]}, 1000)) div 1000)",
     "to_unixtime": "unix_timestamp",
     "to_local_time": lambda a: f"cast({a[0]} AS timestamp_ntz)",
     "today": lambda a: "current_date()",
@@ -112,8 +149,12 @@ FUNCTIONS = {
     "array_has_any": "arrays_overlap",
     "array_has_all": lambda a: f"(size(array_except({a[1]}, {a[0]})) = 0)",
     "array_positions": lambda a: f"filter(transform({a[0]}, (v, i) -> if(v <=> {a[1]}, i + 1, null)), v -> v IS NOT NULL)",
-    "array_remove_all": "array_remove",
-    "array_replace": lambda a: f"transform({a[0]}, (v, i) -> if(i + 1 = array_position({a[0]}, {a[1]}), {a[2]}, v))",
+    "array_any_value": lambda a: f"try_element_at(filter({a[0]}, v -> v IS NOT NULL), 1)",
+    "array_remove": _remove,
+    "array_remove_n": _remove,
+    "array_remove_all": lambda a: f"filter({a[0]}, v -> NOT (v <=> {a[1]}))",
+    "array_replace": _replace,
+    "array_replace_n": _replace,
     "array_replace_all": lambda a: f"transform({a[0]}, v -> if(v <=> {a[1]}, {a[2]}, v))",
     "array_resize": _resize,
     "array_slice": _slice,
@@ -122,13 +163,13 @@ FUNCTIONS = {
     "array_dims": lambda a: f"array(size({a[0]}))",
     "array_element": "try_element_at",
     "empty": lambda a: f"(size({a[0]}) = 0)",
+    "array_empty": lambda a: f"(size({a[0]}) = 0)",
     "array_to_string": "array_join",
     "string_to_array": lambda a: f"split({a[0]}, concat('\\\\Q', {a[1]}, '\\\\E'))",
     "generate_series": "sequence",
     "array_pop_back": lambda a: f"slice({a[0]}, 1, greatest(size({a[0]}) - 1, 0))",
     "array_pop_front": lambda a: f"slice({a[0]}, 2, size({a[0]}))",
     "array_reverse": "reverse",
-    "list_append": "array_append",
     # structs and maps
     "struct": "struct",
     "get_field": lambda a: f"{a[0]}[{a[1]}]",
@@ -141,12 +182,18 @@ FUNCTIONS = {
     "approx_distinct": "approx_count_distinct",
     "approx_median": lambda a: f"approx_percentile({a[0]}, 0.5)",
     "approx_percentile_cont": "approx_percentile",
+    "approx_percentile_cont_with_weight": lambda a: f"percentile({a[0]}, {a[2]}, cast({a[1]} AS bigint))",
     "arrow_typeof": "typeof",
+    "arrow_cast": _arrow_cast,
 }
+#: Functions of arrays go by ``list_`` too, those that Spark has under the same name among them.
+_SAME = ("append", "distinct", "except", "intersect", "max", "min", "position", "prepend", "repeat", "sort", "union")
+FUNCTIONS |= {"list_" + k.removeprefix("array_"): v for k, v in FUNCTIONS.items() if k.startswith("array_")} | {f"list_{k}": f"array_{k}" for k in _SAME}
+FUNCTIONS["string_to_list"] = FUNCTIONS["string_to_array"]
 
 
 def rewrite(sql: str) -> str:
     """A statement with other engines' names and operators in Spark's terms."""
-    sql = sqltext.rewrite_distinct_on(sqltext.rewrite_qualify(sql))
+    sql = sqltext.rewrite_distinct_on(sqltext.rewrite_qualify(sqltext.rewrite_ordered_lists(sql)))
     sql = sqltext.rewrite_unnest(sqltext.rewrite_joins(sqltext.rewrite_extract_epoch(sql)))
     return sqltext.rewrite_calls(sqltext.rewrite_operators(sql), FUNCTIONS)

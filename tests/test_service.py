@@ -151,6 +151,12 @@ def test_json_columns(spark):
         ("SELECT array_slice(make_array(1, 2, 3, 4), 2, 3), array_pop_back(make_array(1, 2)), array_positions(make_array(5, 6, 5), 5), string_to_array('a.b', '.')", ([2, 3], [1], [1, 3], ["a", "b"])),
         ("SELECT date_part('dow', DATE'2024-01-01'), extract(epoch FROM TIMESTAMP'1970-01-02'), to_char(DATE'2024-02-03', '%d.%m.%Y')", (1, 86400, "03.02.2024")),
         ("SELECT 'abc' SIMILAR TO 'a%', 'abc' NOT SIMILAR TO '(x|y)', 'abc' ~ 'b', 'abc' !~ 'b', 'ABC' ~* 'b', 2 = ANY(array(1, 2))", (True, True, True, False, True, True)),
+        ("SELECT array_remove(make_array(1, 2, 1), 1), array_remove_n(make_array(1, 2, 1, 1), 1, 2), array_remove_all(make_array(1, 2, 1), 1), list_remove(make_array(3), 4)", ([2, 1], [2, 1], [2], [3])),
+        ("SELECT array_replace_n(make_array(1, 2, 1, 1), 1, 9, 2), array_replace(make_array(NULL, 1, NULL), NULL, 5), array_replace_n(make_array(1), 1, 9, 0)", ([9, 2, 9, 1], [5, 1, None], [1])),
+        ("SELECT array_any_value(make_array(NULL, 2)), array_empty(make_array(1)), list_has(make_array(1), 1), string_to_list('a|b', '|'), list_sort(make_array(2, 1))", (2, False, True, ["a", "b"], [1, 2])),
+        ("SELECT arrow_cast('12', 'Int64'), arrow_cast(2.5, 'Decimal128(5, 1)') = 2.5, typeof(arrow_cast(1, 'UInt32')), unix_micros(to_timestamp_nanos(-1)), unix_micros(to_timestamp_nanos(1700000000123456789))", (12, True, "bigint", -1, 1700000000123456)),
+        ("SELECT array_agg(x ORDER BY y DESC, x), array_agg(DISTINCT x ORDER BY x NULLS FIRST) FILTER (WHERE y > 1 OR y IS NULL), array_agg(x ORDER BY y) FROM VALUES (1, 2), (3, 2), (NULL, 1), (3, NULL) t(x, y)", ([3, 1, 3, None], [1, 3], [None, 1, 3, 3])),
+        ("SELECT approx_percentile_cont_with_weight(x, w, 0.5) FROM VALUES (1, 1), (5, 3) t(x, w)", (5.0,)),
         ("SELECT regexp_match('a1b22', '[0-9]+'), array_ndims(make_array(make_array(1))), array_resize(make_array(1), 3, 0)", (["1", "22"], 2, [1, 0, 0])),
     ],
 )
