@@ -67,8 +67,8 @@ def _literals():
     return out
 
 
-def _states(spark: SparkSession):
-    e = engine(spark, "")
+def _states(spark: SparkSession, sf_dir: str):
+    e = engine(spark, sf_dir)
     out = []
     for name, sql in {"table": "SELECT * FROM nowhere_at_all", "syntax": "SELEC 1", "write": "DROP TABLE x"}.items():
         try:
@@ -126,7 +126,7 @@ def sink_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {name: _query(name) for name in RULES} | {
     "k8_sink_formats": sink_formats,
-    "r18_error_states": lambda spark, sf_dir: spark.createDataFrame(_states(spark), "name string, state string"),
+    "r18_error_states": lambda spark, sf_dir: spark.createDataFrame(_states(spark, sf_dir), "name string, state string"),
     "r19_describe": lambda spark, sf_dir: spark.createDataFrame(engine(spark, sf_dir).describe("SELECT _id, primaryName, \"type\" FROM mailbox.profile"), "name string, type string"),
     "h3_listing": lambda spark, sf_dir: spark.createDataFrame([(d, ",".join(t)) for d, t in engine(spark, sf_dir).listing().items()], "database string, tables string"),
 }

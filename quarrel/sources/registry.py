@@ -54,6 +54,13 @@ class Registry:
         self.tables: dict[str, dict[str, DataFrame]] = {}
 
     def add(self, database: str, collection: str, docs: DataFrame | Callable[[], DataFrame]) -> None:
+        """Register a collection. It is opened now, so that a place that can't be reached fails here and not in a query; no document is read."""
+        try:
+            found = (docs() if callable(docs) else docs).schema
+        except Exception as e:
+            raise ValueError(f"cannot open {database}.{collection}: {redact(str(e))}") from None
+        if "doc" not in found.names or not isinstance(found["doc"].dataType, T.StringType):
+            raise ValueError(f"cannot open {database}.{collection}: it has no text column doc")
         self.collections.setdefault(database, {})[collection] = docs
 
     def add_table(self, schema: str, name: str, df: DataFrame) -> None:
@@ -142,17 +149,48 @@ def split_filters(ids: DataFrame, parts: int, column: str = "_id") -> list:
     return out
 
 
-def schema_to_ddl(name: str, schema: T.StructType, first: dict | None = None) -> str:
-    """CREATE TABLE for a warehouse, with types by column and, where a first value tells, uuids and object ids as such."""
-    kinds = {"boolean": "BOOLEAN", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE PRECISION", "string": "TEXT", "binary": "BYTEA", "timestamp": "TIMESTAMPTZ", "date": "DATE"}
+_UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_OBJECT_ID = re.compile(r"[0-9a-fA-F]{24}")
+_WAREHOUSE = {"boolean": "BOOLEAN", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE PRECISION", "string": "TEXT", "binary": "BYTEA", "timestamp": "TIMESTAMPTZ", "date": "DATE"}
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _warehouse_type(f: T.StructField, value: object) -> str:
+    """By the column's type; a first value tells uuids and object ids, in columns named as ids, and documents kept as text."""
+    if isinstance(f.dataType, T.DecimalType):
+        return f.dataType.simpleString().upper().replace("DECIMAL", "NUMERIC")
+    kind = _WAREHOUSE.get(f.dataType.simpleString(), "JSONB")
+    if kind == "TEXT" and isinstance(value, str):
+        if f.name == "_id" or f.name.endswith(("Id", "By")):
+            return "UUID" if _UUID.fullmatch(value) else "CHAR(24)" if _OBJECT_ID.fullmatch(value) else kind
+        if value.startswith(("{", "[")):
+            return "JSONB"
+    return kind
+
+
+def schema_to_ddl(name: str, schema: T.StructType, first: dict | None = None, references: dict[str, str] | None = None) -> str:
+    """CREATE TABLE for a warehouse.
+
+    ``first`` has a value by column; ``references`` names, by column, the ``table(column)`` that it points at, for a comment.
+    """
+    first, references = first or {}, references or {}
     lines = []
-    for f in schema:
-        kind = kinds.get(f.dataType.simpleString(), f.dataType.simpleString().upper().replace("DECIMAL", "NUMERIC") if isinstance(f.dataType, T.DecimalType) else "JSONB")
-        value = (first or {}).get(f.name)
-        if kind == "TEXT" and isinstance(value, str):
-            if re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value):
-                kind = "UUID"
-            elif re.fullmatch(r"[0-9a-fA-F]{24}", value):
-                kind = "CHAR(24)"
-        lines.append(f'    "{f.name}" {kind}' + ("" if f.nullable else " NOT NULL") + (" PRIMARY KEY" if f.name == "_id" else ""))
-    return f'CREATE TABLE IF NOT EXISTS "{name}" (\n' + ",\n".join(lines) + "\n);"
+    for n, f in enumerate(schema, 1):
+        line = f"    {_quoted(f.name)} {_warehouse_type(f, first.get(f.name))}" + ("" if f.nullable else " NOT NULL") + (" PRIMARY KEY" if f.name == "_id" else "")
+        line += "," if n < len(schema) else ""
+        lines.append(line + (f" -- references {references[f.name]}" if f.name in references else ""))
+    return f"CREATE TABLE IF NOT EXISTS {_quoted(name)} (\n" + "\n".join(lines) + "\n);"
+
+
+def database_ddl(registry: Registry, database: str, rows: int = 5, references: dict[str, str] | None = None) -> str:
+    """CREATE TABLE for every table of a database; the first values are looked for in ``rows`` rows of each."""
+    out = []
+    for name in registry.listing(database):
+        table = registry.resolve(database, name)
+        seen = table.limit(rows).collect()
+        first = {c: next((r[c] for r in seen if r[c] is not None), None) for c in table.columns}
+        out.append(schema_to_ddl(name, table.schema, first, references) if table.columns else f"-- {_quoted(name)}: no columns")
+    return "\n\n".join(out)

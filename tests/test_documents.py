@@ -289,6 +289,29 @@ def test_overrides_and_refresh(spark):
     assert r.listing("d") == ["t"]  # registered schemas shadow databases
 
 
+def test_registration_opens_the_source(spark, tmp_path):
+    r = reg.Registry(spark)
+    for docs in (lambda: spark.read.text(f"{tmp_path}/none").toDF("doc"), spark.range(1), spark.range(1).toDF("doc")):
+        with pytest.raises(ValueError, match="cannot open d.c"):
+            r.add("d", "c", docs)
+    assert r.listing("d") == []
+
+
+def test_ddl_of_a_database(spark):
+    r = reg.Registry(spark)
+    docs = ['{"_id": {"$oid": "65a000000000000000000001"}, "ownerId": "0f8fad5b-d9cb-469f-a165-70867728950e", "memo": "0f8fad5b-d9cb-469f-a165-70867728950e", "a\\"b": 1}', '{"_id": {"$oid": "65a000000000000000000002"}, "tags": ["x"]}']
+    r.add("d", "c", spark.createDataFrame([(x,) for x in docs], "doc string"))
+    r.add("d", "none", spark.createDataFrame([], "doc string"))
+    r.add_table("plain", "t", spark.sql("SELECT CAST(1.5 AS DECIMAL(5, 2)) AS n, '{}' AS j"))
+    made = reg.database_ddl(r, "d", references={"ownerId": "profile(_id)"}).split("\n")
+    assert made[0] == 'CREATE TABLE IF NOT EXISTS "c" (' and any(x.startswith('    "_id" CHAR(24)') and " PRIMARY KEY" in x for x in made)
+    assert any(x.startswith('    "ownerId" UUID') and x.endswith("-- references profile(_id)") for x in made)
+    assert any(x.startswith('    "memo" TEXT') for x in made) and any(x.startswith('    "a""b" INTEGER') for x in made) and any(x.startswith('    "tags" JSONB') for x in made)
+    assert any('"none"' in x for x in made)
+    plain = reg.database_ddl(r, "plain")
+    assert '"n" NUMERIC(5,2) NOT NULL,' in plain and '"j" JSONB' in plain
+
+
 def test_document_source(spark, tmp_path):
     docs = [{"_id": k, "n": k if k % 3 else None, "s": f"v{k % 5}", "big": "x" * (k % 97)} for k in range(3000)]
     (tmp_path / "docs").mkdir()
