@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,45 @@ def test_range_coder_finds_damage():
     assert len(token_file.encode_ids(np.tile(np.arange(50), 200))) < 10_000 * 2 / 8
 
 
+def test_words_are_split_as_the_library_splits():
+    r = random.Random(7)
+    coder = token_file.Coder(token_file.TOKENIZER)
+    parts = ["'", "'s", "'re", "'ve", "'ll", "'d", "'S", "r", "e", "v", "l", "a", "Zq", " ", "  ", "\n", "\t", "\r\n", "1", "42", "!", "?\"", "\0", "é", "日本", "😀", "\u3000", "\xa0", "\x85", "\x1c", "½", "\u0301", "<|endoftext|>", "abcdefghijklmn", "опытный"]
+    texts = [None, "", *("".join(r.choices(parts, k=r.randrange(1, 24))) for _ in range(6000))]
+    texts += ["x" * n for n in range(13, 18)] + [" " + "y" * n for n in range(13, 18)] + ["é" * n + " é" for n in range(6, 10)]
+    for at in (0, 1):  # words that are new, then words that are known
+        for k in range(at, len(texts), 500):
+            some = texts[k : k + 500]
+            for t, got in zip(some, coder.encode(some), strict=True):
+                assert got.tolist() == [*coder.lib.encode(t or "", add_special_tokens=False).ids, token_file.END_ID], repr(t)
+
+
+def test_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(token_file, "KEPT_WORDS", 50)
+    coder = token_file.Coder(token_file.TOKENIZER)
+    for k in range(6):
+        texts = [f"w{i} word{i * k} " + "long" * 8 + str(i) for i in range(40 * k)]
+        for t, got in zip(texts, coder.encode(texts), strict=True):
+            assert got.tolist() == [*coder.lib.encode(t, add_special_tokens=False).ids, token_file.END_ID]
+    coder.encode([])
+    assert coder.n == 1
+
+
+def test_token_file_costs_less_than_the_library():
+    """Against the library's own CPU seconds over the same texts, and the bits of a table of frequencies over all of them."""
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].slice(0, 1500).to_pylist()
+    coder = token_file.Coder(token_file.TOKENIZER)
+    flat = np.concatenate(coder.encode(docs))
+    t = [time.process_time()]
+    for step in (lambda: coder.lib.encode_batch_fast(docs, add_special_tokens=False), lambda: coder.encode(docs), lambda: token_file.decode_ids(token_file.encode_ids(flat))):
+        step()
+        t.append(time.process_time())
+    library, words, both_ways = np.diff(t)
+    assert words < library / 4 and both_ways < library / 2
+    share = np.bincount(flat) / len(flat)
+    assert 8 * len(token_file.encode_ids(flat)) / len(flat) < -np.sum(share[share > 0] * np.log2(share[share > 0]))
+
+
 def test_token_file_equals_the_library(spark):
     from tokenizers import Tokenizer
 
