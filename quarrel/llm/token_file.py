@@ -22,6 +22,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ BLOCK, LANES, LEAST_STEPS = 1 << 22, 4096, 1024
 CHUNK_IDS = BLOCK - (BLOCK >> 4)
 #: Text of a part (one task), and at most how many parts: their totals go to the driver.
 PART_BYTES, MOST_PARTS = 24 << 20, 100_000
-#: Words that a worker remembers the ids of.
-KEPT_WORDS = 500_000
+#: Words that a worker remembers the ids of, and their bytes: beyond either it begins anew with the next batch.
+KEPT_WORDS, KEPT_BYTES = 500_000, 32 << 20
 MAGIC = b"QCM2"
 #: How words are split; another pattern of the tokenizers means that texts go to the library whole.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -301,7 +302,7 @@ class Coder:
     def _forget(self) -> None:
         self.low, self.high, self.word = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
         self.long: dict[bytes, int] = {}
-        self.n, self.n_ids = 1, 1  # the first word is the end of a document
+        self.n, self.n_ids, self.n_bytes = 1, 1, 0  # the first word is the end of a document
         self.at, self.size, self.ids = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), np.full(1 << 16, END_ID, np.uint32)
 
     def _alike(self, ch: str) -> bool:
@@ -344,7 +345,7 @@ class Coder:
             self.word[slot[free]] = word[free]
             free = free[self.word[slot[free]] == word[free]]  # one of those that want a slot has it
             self.low[slot[free]], self.high[slot[free]] = low[free], high[free]
-            left = left[(self.word[slot[left]] != word[left])]
+            left = left[self.word[slot[left]] != word[left]]
             slot[left] = slot[left] + 1 & mask
 
     def _add(self, words: list[bytes]) -> None:
@@ -360,6 +361,7 @@ class Coder:
         self.at[first : self.n] = self.n_ids + np.cumsum(sizes) - sizes
         self.ids[self.n_ids : self.n_ids + int(sizes.sum())] = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
         self.n_ids += int(sizes.sum())
+        self.n_bytes += sum(map(len, words))
         if 2 * self.n > len(self.word):
             had = np.flatnonzero(self.high)
             low, high, word, slots = self.low[had], self.high[had], self.word[had], 1 << (4 * self.n).bit_length()
@@ -389,24 +391,27 @@ class Coder:
             start[quote + size + 1] |= kinds[quote + size + 1] == _LETTER
         return np.flatnonzero(start)
 
-    def _split(self, texts: list[str], kinds: np.ndarray, codes: np.ndarray, raw: bytes) -> list[np.ndarray]:
-        """Ids of texts that are given joined, a NUL after each."""
+    def _split(self, texts: list[str], plain: bool) -> list[np.ndarray | None]:
+        """Ids of texts, of which all or none are ASCII (``plain``); None for those that the library must split."""
+        joined = "".join(f"{t}\0" for t in texts)
+        raw = joined.encode()
+        codes = np.frombuffer(raw, np.uint8) if plain else np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kinds = self._kinds_of(codes)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         kinds[ends] = _END
+        odd = np.diff(np.cumsum(kinds == _DIFFERS)[ends], prepend=0) > 0
         starts = self._starts(codes, kinds)
         last = kinds[starts] == _END
-        if len(raw) != len(codes):
+        if not plain:
             widths = 1 + (codes >= 0x80) + (codes >= 0x800).astype(np.int8) + (codes >= 0x10000)
             starts = (np.cumsum(widths) - widths)[starts]
         sizes = np.diff(starts, append=len(raw))
         low, high = _keys(raw, starts, sizes)
         word = np.zeros(len(starts), np.int64)
-        short = (sizes <= _SHORT) & ~last
-        every = np.flatnonzero(short)
-        word[every] = self._find(low[every], high[every])
-        rest = np.flatnonzero(~short & ~last)
+        short = np.flatnonzero((sizes <= _SHORT) & ~last)
+        word[short] = self._find(low[short], high[short])
+        new, rest = short[word[short] == 0], np.flatnonzero((sizes > _SHORT) & ~last)
         spelt = [raw[a : a + n] for a, n in zip(starts[rest].tolist(), sizes[rest].tolist(), strict=True)]
-        new = every[word[every] == 0]
         fresh = {raw[a : a + n] for a, n in zip(starts[new].tolist(), sizes[new].tolist(), strict=True)}
         fresh.update(w for w in spelt if w not in self.long)
         if fresh:
@@ -416,28 +421,19 @@ class Coder:
         size = self.size.take(word)
         total = np.cumsum(size)
         ids = self.ids.take(np.arange(total[-1]) + np.repeat(self.at.take(word) - total + size, size))
-        return np.split(ids, total[last][:-1])
+        return [None if o else x for o, x in zip(odd.tolist(), np.split(ids, total[last][:-1]), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text and ``END_ID``."""
-        if self.n > KEPT_WORDS:
+        if self.n > KEPT_WORDS or self.n_bytes > KEPT_BYTES:
             self._forget()
         texts = [t or "" for t in texts]
         out: list = [None] * len(texts)
         own = [i for i, t in enumerate(texts) if not any(x in t for x in self.added)] if self.by_word else []
         for plain in (True, False):
             group = [i for i in own if texts[i].isascii() == plain]
-            joined = "".join(f"{texts[i]}\0" for i in group)
-            codes = np.frombuffer(joined.encode(*(() if plain else ("utf-32-le",))), np.uint8 if plain else np.uint32)
-            kinds = self._kinds_of(codes)
-            if (kinds == _DIFFERS).any():
-                odd = np.add.reduceat(kinds == _DIFFERS, np.cumsum([0, *(len(texts[i]) + 1 for i in group[:-1])]), dtype=np.int64) > 0
-                group = [i for i, o in zip(group, odd.tolist(), strict=True) if not o]
-                joined = "".join(f"{texts[i]}\0" for i in group)
-                codes = np.frombuffer(joined.encode(*(() if plain else ("utf-32-le",))), np.uint8 if plain else np.uint32)
-                kinds = self._kinds_of(codes)
             if group:
-                for i, ids in zip(group, self._split([texts[i] for i in group], kinds, codes, joined.encode()), strict=True):
+                for i, ids in zip(group, self._split([texts[i] for i in group], plain), strict=True):
                     out[i] = ids
         whole = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(whole, self.lib.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
@@ -445,17 +441,17 @@ class Coder:
         return out
 
 
-#: Coders that a worker keeps between tasks, by path.
-_CODERS: dict[str, Coder] = {}
+@cache
+def _coder(path: str) -> Coder:
+    """A worker keeps its coder between tasks: this function is pickled by its name, so the memory is the worker's own."""
+    return Coder(path)
 
 
 def _chunks(path: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if path not in _CODERS:
-            _CODERS[path] = Coder(path)
-        coder, part, made = _CODERS[path], TaskContext.get().partitionId(), 0
+        coder, part, made = _coder(path), TaskContext.get().partitionId(), 0
         names, lists, total = [], [], 0
 
         def chunk() -> pa.RecordBatch:

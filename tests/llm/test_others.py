@@ -87,8 +87,9 @@ def test_words_are_split_as_the_library_splits():
                 assert got.tolist() == [*coder.lib.encode(t or "", add_special_tokens=False).ids, token_file.END_ID], repr(t)
 
 
-def test_words_are_forgotten(monkeypatch):
-    monkeypatch.setattr(token_file, "KEPT_WORDS", 50)
+@pytest.mark.parametrize("bound", ["KEPT_WORDS", "KEPT_BYTES"])
+def test_words_are_forgotten(monkeypatch, bound):
+    monkeypatch.setattr(token_file, bound, 50)
     coder = token_file.Coder(token_file.TOKENIZER)
     for k in range(6):
         texts = [f"w{i} word{i * k} " + "long" * 8 + str(i) for i in range(40 * k)]
