@@ -42,6 +42,8 @@ CHUNK_IDS = BLOCK - (BLOCK >> 4)
 PART_BYTES, MOST_PARTS = 24 << 20, 100_000
 #: Words that a worker remembers the ids of, and their bytes: beyond either it begins anew with the next batch.
 KEPT_WORDS, KEPT_BYTES = 500_000, 32 << 20
+#: Characters of a text that are split at a time (more where it has no space to part it at).
+PIECE = 1 << 20
 MAGIC = b"QCM2"
 #: How words are split; another pattern of the tokenizers means that texts go to the library whole.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -270,6 +272,20 @@ def _keys(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray
     return low, high | sizes.astype(np.uint64) << np.uint64(56)
 
 
+def _pieces(text: str) -> list[str]:
+    """A text cut before spaces that follow no white space: words start there, whatever is before or after."""
+    out, at = [], 0
+    while len(text) - at > PIECE:
+        cut = text.find(" ", at + PIECE)
+        while cut > 0 and text[cut - 1].isspace():
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
 class Coder:
     """Ids of whole texts, by the tokenizers library.
 
@@ -393,6 +409,8 @@ class Coder:
 
     def _split(self, texts: list[str], plain: bool) -> list[np.ndarray | None]:
         """Ids of texts, of which all or none are ASCII (``plain``); None for those that the library must split."""
+        if self.n > KEPT_WORDS or self.n_bytes > KEPT_BYTES:
+            self._forget()
         joined = "".join(f"{t}\0" for t in texts)
         raw = joined.encode()
         codes = np.frombuffer(raw, np.uint8) if plain else np.frombuffer(joined.encode("utf-32-le"), "<u4")
@@ -425,16 +443,19 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text and ``END_ID``."""
-        if self.n > KEPT_WORDS or self.n_bytes > KEPT_BYTES:
-            self._forget()
         texts = [t or "" for t in texts]
         out: list = [None] * len(texts)
         own = [i for i, t in enumerate(texts) if not any(x in t for x in self.added)] if self.by_word else []
         for plain in (True, False):
-            group = [i for i in own if texts[i].isascii() == plain]
+            group = [i for i in own if len(texts[i]) <= PIECE and texts[i].isascii() == plain]
             if group:
                 for i, ids in zip(group, self._split([texts[i] for i in group], plain), strict=True):
                     out[i] = ids
+        for i in own:
+            if len(texts[i]) > PIECE:
+                parts = [self._split([p], p.isascii())[0] for p in _pieces(texts[i])]
+                if not any(x is None for x in parts):
+                    out[i] = np.concatenate([*(x[:-1] for x in parts[:-1]), parts[-1]])
         whole = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(whole, self.lib.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array([*e.ids, END_ID], np.uint32)

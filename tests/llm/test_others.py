@@ -74,7 +74,9 @@ def test_range_coder_finds_damage():
     assert len(token_file.encode_ids(np.tile(np.arange(50), 200))) < 10_000 * 2 / 8
 
 
-def test_words_are_split_as_the_library_splits():
+@pytest.mark.parametrize("piece", [1 << 20, 1, 7])
+def test_words_are_split_as_the_library_splits(monkeypatch, piece):
+    monkeypatch.setattr(token_file, "PIECE", piece)
     r = random.Random(7)
     coder = token_file.Coder(token_file.TOKENIZER)
     parts = ["'", "'s", "'re", "'ve", "'ll", "'d", "'S", "r", "e", "v", "l", "a", "Zq", " ", "  ", "\n", "\t", "\r\n", "1", "42", "!", "?\"", "\0", "é", "日本", "😀", "\u3000", "\xa0", "\x85", "\x1c", "½", "\u0301", "<|endoftext|>", "abcdefghijklmn", "опытный"]
@@ -95,7 +97,7 @@ def test_words_are_forgotten(monkeypatch, bound):
         texts = [f"w{i} word{i * k} " + "long" * 8 + str(i) for i in range(40 * k)]
         for t, got in zip(texts, coder.encode(texts), strict=True):
             assert got.tolist() == [*coder.lib.encode(t, add_special_tokens=False).ids, token_file.END_ID]
-    coder.encode([])
+    coder.encode([""])
     assert coder.n == 1
 
 
