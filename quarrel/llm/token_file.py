@@ -41,7 +41,7 @@ CHUNK_IDS = BLOCK - (BLOCK >> 4)
 #: Text of a part (one task), and at most how many parts: their totals go to the driver.
 PART_BYTES, MOST_PARTS = 24 << 20, 100_000
 #: Words that a worker remembers the ids of, and their bytes: beyond either it begins anew with the next batch.
-KEPT_WORDS, KEPT_BYTES = 500_000, 32 << 20
+KEPT_WORDS, KEPT_BYTES = 1_000_000, 32 << 20
 #: Characters of a text that are split at a time (more where it has no space to part it at).
 PIECE = 1 << 20
 MAGIC = b"QCM2"
